@@ -28,6 +28,11 @@ def at(array, i: int) -> Column:
     return F.get(col(array), i)
 
 
+def let(value: Column, fn) -> Column:
+    """`fn` of a value computed once. Keeps a long chain of steps from being copied into every use."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def total(terms) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
@@ -171,6 +176,29 @@ def straighten(x, y, k, aspect) -> tuple[Column, Column]:
     return F.lit(0.5) + div(dx * scale, aspect), F.lit(0.5) + dy * scale
 
 
+def straightened(p: Column, k, aspect) -> Column:
+    """`straighten` on a point struct."""
+    args = F.struct(p.alias("p"), col(k).alias("k"), col(aspect).alias("a"))
+    return let(args, lambda s: point(*straighten(s["p"]["x"], s["p"]["y"], s["k"], s["a"])))
+
+
+def bent(p: Column, k, aspect) -> Column:
+    """`bend` on a point struct."""
+    args = F.struct(p.alias("p"), col(k).alias("k"), col(aspect).alias("a"))
+    return let(args, lambda s: point(*bend(s["p"]["x"], s["p"]["y"], s["k"], s["a"])))
+
+
+def onto(h, p: Column) -> Column:
+    """A point struct through a homography."""
+    args = F.struct(col(h).alias("h"), p.alias("p"))
+    return let(args, lambda s: point(*project(s["h"], s["p"]["x"], s["p"]["y"])))
+
+
+def back(h, p: Column) -> Column:
+    """A point struct through a homography's inverse; NULL coordinates where there is none."""
+    return let(col(h), lambda m: onto(invert(m), p))
+
+
 def bend(x, y, k, aspect) -> tuple[Column, Column]:
     """Puts the bend back; a point with no real root, or no bend to speak of, stays."""
     x, y, k, aspect = col(x), col(y), col(k), col(aspect)

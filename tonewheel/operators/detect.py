@@ -184,12 +184,17 @@ def coarse_quad(peaks: DataFrame) -> DataFrame:
         F.max("width").alias("w"), F.max("height").alias("h"),
     ).where((F.col("gaps") >= LEAST_GAPS) & (F.col("n") >= LEAST_POINTS) & (F.col("blacks") > 0))
     angle = F.atan2(F.col("xy") * 2.0, F.col("xx") - F.col("yy")) * 0.5
-    axes = sums.withColumn("ax", F.cos(angle)).withColumn("ay", F.sin(angle))
-    across = (F.col("bx") - F.col("gx")) * -F.col("ay") + (F.col("by") - F.col("gy")) * F.col("ax")
-    flip = F.when(across < 0, -1.0).otherwise(1.0)
-    axes = axes.withColumn("ox", -F.col("ay") * flip).withColumn("oy", F.col("ax") * flip)
-    turn = F.when(F.col("ax") * F.col("oy") - F.col("ay") * F.col("ox") > 0, -1.0).otherwise(1.0)
-    axes = axes.withColumn("_t", turn).withColumn("ax", F.col("ax") * F.col("_t")).withColumn("ay", F.col("ay") * F.col("_t"))
+    behind = F.struct((F.col("bx") - F.col("gx")).alias("x"), (F.col("by") - F.col("gy")).alias("y"))
+
+    def axes_of(a):
+        # across points from the gaps to the blacks; along then turns to it as image x to image up
+        up = F.when(behind["x"] * -F.sin(a) + behind["y"] * F.cos(a) < 0, -1.0).otherwise(1.0)
+        return F.struct(
+            (F.cos(a) * -up).alias("ax"), (F.sin(a) * -up).alias("ay"),
+            (-F.sin(a) * up).alias("ox"), (F.cos(a) * up).alias("oy"),
+        )
+
+    axes = sums.withColumn("_axes", G.let(angle, axes_of)).select("*", "_axes.*").drop("_axes")
     along = (F.col("px") - F.col("cx")) * F.col("ax") + (F.col("py") - F.col("cy")) * F.col("ay")
     extents = (
         pts.select("frame_id", "px", "py").join(axes.select("frame_id", "cx", "cy", "ax", "ay"), "frame_id")
@@ -219,18 +224,25 @@ def coarse_quad(peaks: DataFrame) -> DataFrame:
 def widen_quad(quad, factor: float = 1.3) -> Column:
     """The quad stretched along the keyboard about its centre."""
     p = G.corners_of(quad)
-    cx, cy = G.total([c["x"] for c in p]) / F.lit(4.0), G.total([c["y"] for c in p]) / F.lit(4.0)
-    dx = p[1]["x"] - p[0]["x"] + p[2]["x"] - p[3]["x"]
-    dy = p[1]["y"] - p[0]["y"] + p[2]["y"] - p[3]["y"]
-    length = F.hypot(dx, dy)
-    length = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    ax, ay = dx / length, dy / length
+    frame = F.struct(
+        (G.total([c["x"] for c in p]) / F.lit(4.0)).alias("cx"),
+        (G.total([c["y"] for c in p]) / F.lit(4.0)).alias("cy"),
+        (p[1]["x"] - p[0]["x"] + p[2]["x"] - p[3]["x"]).alias("dx"),
+        (p[1]["y"] - p[0]["y"] + p[2]["y"] - p[3]["y"]).alias("dy"),
+    )
+
+    def stretch(f):
+        length2 = f["dx"] * f["dx"] + f["dy"] * f["dy"]
+        length2 = F.when(length2 == 0, F.lit(1.0)).otherwise(length2)
+
+        def moved(c):
+            along = ((c["x"] - f["cx"]) * f["dx"] + (c["y"] - f["cy"]) * f["dy"]) / length2
+            step = along * F.lit(factor - 1.0)
+            return point(c["x"] + f["dx"] * step, c["y"] + f["dy"] * step)
 
-    def moved(c):
-        step = ((c["x"] - cx) * ax + (c["y"] - cy) * ay) * F.lit(factor - 1.0)
-        return point(c["x"] + ax * step, c["y"] + ay * step)
+        return F.transform(col(quad), moved)
 
-    return F.array(*[moved(c) for c in p])
+    return G.let(frame, stretch)
 
 
 def crop_axes(quad, width: float, height: float) -> Column:
@@ -238,24 +250,35 @@ def crop_axes(quad, width: float, height: float) -> Column:
     p = G.corners_of(quad)
     dx = p[1]["x"] - p[0]["x"] + p[2]["x"] - p[3]["x"]
     dy = p[1]["y"] - p[0]["y"] + p[2]["y"] - p[3]["y"]
-    length = F.hypot(dx, dy)
-    length = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    ax, ay = dx / length, dy / length
     depth_x = p[3]["x"] - p[0]["x"] + p[2]["x"] - p[1]["x"]
     depth_y = p[3]["y"] - p[0]["y"] + p[2]["y"] - p[1]["y"]
-    side = F.when(-ay * depth_x + ax * depth_y < 0, -1.0).otherwise(1.0)
-    ox, oy = -ay * side, ax * side
-    cx, cy = G.total([c["x"] for c in p]) / F.lit(4.0), G.total([c["y"] for c in p]) / F.lit(4.0)
-
-    def spread(ux, uy):
-        values = [(c["x"] - cx) * ux + (c["y"] - cy) * uy for c in p]
-        return F.greatest(*values) - F.least(*values)
-
-    along = spread(ax, ay) * (1 + 2 * MARGIN_ALONG)
-    across = spread(ox, oy) + along * MARGIN_ACROSS / F.lit(1 + 2 * MARGIN_ALONG)
-    scale = F.greatest(along / F.lit(float(width)), across / F.lit(float(height)), F.lit(1e-6))
-    named = dict(cx=cx, cy=cy, ax=ax, ay=ay, ox=ox, oy=oy, scale=scale)
-    return F.struct(*[v.alias(k) for k, v in named.items()])
+
+    def named(**columns):
+        return F.struct(*[v.alias(k) for k, v in columns.items()])
+
+    def unit(v):
+        length = F.hypot(v["x"], v["y"])
+        length = F.when(length == 0, F.lit(1.0)).otherwise(length)
+        return named(x=v["x"] / length, y=v["y"] / length, dx=v["dx"], dy=v["dy"])
+
+    def sided(a):
+        side = F.when(a["x"] * a["dy"] - a["y"] * a["dx"] < 0, -1.0).otherwise(1.0)
+        return named(
+            ax=a["x"], ay=a["y"], ox=-a["y"] * side, oy=a["x"] * side,
+            cx=G.total([c["x"] for c in p]) / F.lit(4.0), cy=G.total([c["y"] for c in p]) / F.lit(4.0),
+        )
+
+    def scaled(a):
+        def spread(ux, uy):
+            values = [(c["x"] - a["cx"]) * ux + (c["y"] - a["cy"]) * uy for c in p]
+            return F.greatest(*values) - F.least(*values)
+
+        along = spread(a["ax"], a["ay"]) * (1 + 2 * MARGIN_ALONG)
+        across = spread(a["ox"], a["oy"]) + along * MARGIN_ACROSS / F.lit(1 + 2 * MARGIN_ALONG)
+        scale = F.greatest(along / F.lit(float(width)), across / F.lit(float(height)), F.lit(1e-6))
+        return named(scale=scale, **{k: a[k] for k in ("cx", "cy", "ax", "ay", "ox", "oy")})
+
+    return G.let(G.let(G.let(named(x=dx, y=dy, dx=depth_x, dy=depth_y), unit), sided), scaled)
 
 
 def ends_inside(fit_quad, crop) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.functions import geometry as G
-from tonewheel.functions.geometry import col, div
+from tonewheel.functions.geometry import col, div, point
 from tonewheel.functions.quantiles import quantiles
 from tonewheel.operators import dims
 from tonewheel.operators.detect import local_maxima, neighbours
@@ -351,19 +351,18 @@ def back_edge_distances(backs: DataFrame, fits: DataFrame) -> DataFrame:
     `backs` has frame_id, x, y in frame fractions; `fits` has homography, white_keys, lens_k,
     lens_aspect, width, height. Points close to the picture's border are left out.
     """
-    inside = F.col("x").between(0.02, 0.98) & (F.col("x") < 0.98) & F.col("y").between(0.02, 0.98) & (F.col("y") < 0.98)
-    seen = backs.where(inside).join(fits.withColumn("_inv", G.invert("homography")), "frame_id")
-    sx, sy = G.straighten("x", "y", "lens_k", "lens_aspect")
-    seen = seen.withColumn("_sx", sx).withColumn("_sy", sy)
-    ox, oy = G.project("_inv", "_sx", "_sy")
-    on = seen.withColumn("_ox", ox).withColumn("_oy", oy).where(
-        (F.col("_ox") >= 0) & (F.col("_ox") <= F.col("white_keys")) & (F.abs("_oy") <= 0.5)
+    inside = (F.col("x") >= 0.02) & (F.col("x") < 0.98) & (F.col("y") >= 0.02) & (F.col("y") < 0.98)
+    met = backs.where(inside).join(fits, "frame_id")
+    seen = point("x", "y")
+    on = met.withColumn("_on", G.back("homography", G.straightened(seen, "lens_k", "lens_aspect"))).where(
+        (F.col("_on.x") >= 0) & (F.col("_on.x") <= F.col("white_keys")) & (F.abs("_on.y") <= 0.5)
     )
-    ex, ey = G.project("homography", "_ox", F.lit(0.0))
-    on = on.withColumn("_ex", ex).withColumn("_ey", ey)
-    bx, by = G.bend("_ex", "_ey", "lens_k", "lens_aspect")
-    apart = F.hypot((bx - F.col("x")) * F.col("width"), (by - F.col("y")) * F.col("height"))
-    side = F.when(F.col("_oy") >= 0, -1.0).otherwise(1.0)
+    edge = G.bent(G.onto("homography", point(F.col("_on.x"), F.lit(0.0))), "lens_k", "lens_aspect")
+    on = on.withColumn("_edge", edge)
+    apart = F.hypot(
+        (F.col("_edge.x") - F.col("x")) * F.col("width"), (F.col("_edge.y") - F.col("y")) * F.col("height")
+    )
+    side = F.when(F.col("_on.y") >= 0, -1.0).otherwise(1.0)
     return on.select(*backs.columns, (side * apart).alias("ahead_px"))
 
 

@@ -47,6 +47,27 @@ def _faces() -> str:
     return ",\n ".join(cols)
 
 
+def _board_key_rows() -> str:
+    """The standard boards' keys as literal rows, by the rule the DuckDB text states in SQL."""
+    rows = []
+    for white_keys, letter, first in ((29, "C", 60), (36, "C", 60), (45, "E", 64), (52, "A", 69)):
+        base, last = 7 * (first // 12) - 12 + _WHITE_OF[first % 12], white_keys - 1
+        for pitch in range(first, first + 2 * white_keys):
+            octave, pc = 7 * (pitch // 12) - 12, pitch % 12
+            black = pc in _BLACK_FROM
+            order = octave + _WHITE_OF[pc - 1 if black else pc] - base
+            if order > (last - 1 if black else last):
+                break
+            start = f"{octave}e0 + {_BLACK_FROM[pc]} - {base}" if black else f"{order}e0"
+            width = _BLACK_WIDTH if black else "1e0"
+            depth = "0.62e0" if black else "1e0"
+            rows.append(
+                f"({white_keys}, '{letter}', {first}, {pitch - first}, {int(black)}, {order}, "
+                f"{start}, {start} + {width}, {depth})"
+            )
+    return ", ".join(rows)
+
+
 _VIEWS: dict[str, str | dict[str, str]] = {
     "fx_frames": """
 SELECT o_orderkey AS frame_id, o_custkey AS clip_id,
@@ -125,7 +146,10 @@ SELECT pitch, pc, CASE WHEN pc IN (1, 3, 6, 8, 10) THEN 1 ELSE 0 END AS black,
   ELSE CAST(octave * 7 - 12 + {_case('pc', _WHITE_OF, '-1')} AS DOUBLE) END AS unit_from,
  CASE WHEN pc IN (1, 3, 6, 8, 10) THEN {_BLACK_WIDTH} ELSE 1e0 END AS unit_width
 FROM (SELECT n AS pitch, n % 12 AS pc, CAST(floor(n / 12) AS BIGINT) AS octave FROM @range192)""",
-    "fx_board_keys": """
+    "fx_board_keys": {
+        "spark": f"SELECT * FROM VALUES {_board_key_rows()} AS "
+        "t(white_keys, phase, first_pitch, semitone, black, white_ord, x_from, x_to, depth)",
+        "duck": """
 SELECT b.white_keys, b.phase, b.first_pitch, p.pitch - b.first_pitch AS semitone, p.black,
  CASE WHEN p.black = 1 THEN p.white_below - b.base ELSE p.white_index - b.base END AS white_ord,
  p.unit_from - b.base AS x_from, p.unit_from - b.base + p.unit_width AS x_to,
@@ -134,6 +158,7 @@ FROM (SELECT 29 AS white_keys, 'C' AS phase, 60 AS first_pitch, 23 AS base UNION
  UNION ALL SELECT 45, 'E', 64, 25 UNION ALL SELECT 52, 'A', 69, 28) b
 JOIN fx_pitches p ON (p.black = 0 AND p.white_index - b.base BETWEEN 0 AND b.white_keys - 1)
  OR (p.black = 1 AND p.white_below - b.base BETWEEN 0 AND b.white_keys - 2)""",
+    },
     "fx_keys": f"""
 SELECT frame_id, pitch, black, white_keys, width, height, {_faces()}
 FROM (SELECT b.frame_id, b.white_keys, b.width, b.height, k.first_pitch + k.semitone AS pitch, k.black, k.x_from, k.x_to, k.depth,
@@ -142,7 +167,18 @@ FROM (SELECT b.frame_id, b.white_keys, b.width, b.height, k.first_pitch + k.semi
   CASE WHEN (b.frame_id + k.semitone) % 13 = 0 THEN 1 ELSE 0 END AS folded
  FROM fx_boards b JOIN fx_board_keys k ON b.white_keys = k.white_keys AND b.phase = k.phase
  WHERE NOT (b.frame_id % 11 = 0 AND k.black = 1) AND NOT (b.frame_id % 97 = 0 AND k.semitone > 0)) k""",
-    "fx_template": """
+    "fx_template": {
+        "spark": """
+SELECT white_keys, phase, p.channel, p.ord, p.x, p.y FROM fx_board_keys LATERAL VIEW explode(CASE
+ WHEN black = 1 THEN array(named_struct('channel', 5, 'ord', semitone - white_ord, 'x', x_from, 'y', 0.62e0),
+  named_struct('channel', 6, 'ord', semitone - white_ord, 'x', x_to, 'y', 0.62e0))
+ WHEN white_ord = 0 THEN array(named_struct('channel', 0, 'ord', 1, 'x', 0e0, 'y', 0e0),
+  named_struct('channel', 1, 'ord', 1, 'x', CAST(white_keys AS DOUBLE), 'y', 0e0),
+  named_struct('channel', 2, 'ord', 1, 'x', CAST(white_keys AS DOUBLE), 'y', 1e0),
+  named_struct('channel', 3, 'ord', 1, 'x', 0e0, 'y', 1e0))
+ ELSE array(named_struct('channel', 4, 'ord', white_ord, 'x', x_from, 'y', 1e0),
+  named_struct('channel', 9, 'ord', white_ord, 'x', x_from, 'y', 0e0)) END) e AS p""",
+        "duck": """
 SELECT white_keys, phase, 0 AS channel, 1 AS ord, 0e0 AS x, 0e0 AS y FROM fx_board_keys WHERE semitone = 0
 UNION ALL SELECT white_keys, phase, 1, 1, CAST(white_keys AS DOUBLE), 0e0 FROM fx_board_keys WHERE semitone = 0
 UNION ALL SELECT white_keys, phase, 2, 1, CAST(white_keys AS DOUBLE), 1e0 FROM fx_board_keys WHERE semitone = 0
@@ -153,6 +189,7 @@ UNION ALL SELECT white_keys, phase, 5, row_number() OVER (PARTITION BY white_key
  FROM fx_board_keys WHERE black = 1
 UNION ALL SELECT white_keys, phase, 6, row_number() OVER (PARTITION BY white_keys, phase ORDER BY semitone), x_to, 0.62e0
  FROM fx_board_keys WHERE black = 1""",
+    },
     "fx_drawn": f"""
 SELECT frame_id, white_keys, phase, channel, ord, width, height,
  {_px('x', 'tx', 'ty')} + noise_x AS x_px, {_px('y', 'tx', 'ty')} - up * lift_px + noise_y AS y_px, score, h1, h2
@@ -193,12 +230,12 @@ def _render(name: str, dialect: str, sf_dir: str | None) -> str:
     return re.sub(r"@(\w+)", r"\1", body)
 
 
-def _closure(names: tuple[str, ...]) -> list[str]:
+def _closure(names: tuple[str, ...], dialect: str) -> list[str]:
     ordered: list[str] = []
 
     def visit(name: str) -> None:
         body = _VIEWS[name]
-        text = body if isinstance(body, str) else body["duck"]
+        text = body if isinstance(body, str) else body[dialect]
         for other in _VIEWS:
             if other != name and re.search(rf"\b{other}\b", text):
                 visit(other)
@@ -212,10 +249,10 @@ def _closure(names: tuple[str, ...]) -> list[str]:
 
 def duck_ctes(*names: str) -> str:
     """`WITH` items, without the keyword, that define the named views in DuckDB."""
-    return ",\n".join(f"{n} AS ({_render(n, 'duck', None)})" for n in _closure(names))
+    return ",\n".join(f"{n} AS ({_render(n, 'duck', None)})" for n in _closure(names, "duck"))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named fixture view over the tables under `sf_dir`."""
-    ctes = [f"{n} AS ({_render(n, 'spark', sf_dir)})" for n in _closure((name,))]
+    ctes = [f"{n} AS ({_render(n, 'spark', sf_dir)})" for n in _closure((name,), "spark")]
     return spark.sql(f"WITH {', '.join(ctes)} SELECT * FROM {name}")
