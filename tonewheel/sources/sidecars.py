@@ -242,9 +242,10 @@ def read_fixed_labels(spark: SparkSession, directory: str) -> DataFrame:
 def export_labels(points: DataFrame, frames: DataFrame) -> DataFrame:
     """One JSON document per frame, low to high, a hidden point as null.
 
-    A document lists at most a keyboard's points, so its arrays are bounded by the instrument.
+    Copies of a point collapse first, so a document's arrays are bounded by the instrument.
     """
-    listed = points.groupBy("frame_id").agg(
+    single = points.groupBy("frame_id", "channel", "idx").agg(F.min(F.struct("x_px", "y_px")).alias("p"))
+    listed = single.select("frame_id", "channel", "idx", "p.*").groupBy("frame_id").agg(
         F.map_from_entries(F.collect_list(F.struct(F.struct("channel", "idx"), F.array("x_px", "y_px")))).alias("at")
     )
     n = F.col("white_keys")
