@@ -85,6 +85,10 @@ def project_point(h, x, y) -> Column:
 
 def invert(h) -> Column:
     """The inverse by cofactors, NULL when the determinant is negligible or not a number."""
+    return let(col(h), _invert)
+
+
+def _invert(h: Column) -> Column:
     a, b, c, d, e, f, g, k, i = nine(h)
     c00, c01, c02 = e * i - f * k, f * g - d * i, d * k - e * g
     c10, c11, c12 = c * k - b * i, a * i - c * g, b * g - a * k
@@ -96,6 +100,30 @@ def invert(h) -> Column:
     )
 
 
+def square_to(q, white_keys=None) -> Column:
+    """The homography from the unit square, or from a board `white_keys` wide, onto a quad.
+
+    The closed form of the four-point fit; NULL where the quad has no area to map onto.
+    """
+    def solve(p):
+        p = corners_of(p)
+        x, y = [c["x"] for c in p], [c["y"] for c in p]
+        ax, bx, sx = x[1] - x[2], x[3] - x[2], x[0] - x[1] + x[2] - x[3]
+        ay, by, sy = y[1] - y[2], y[3] - y[2], y[0] - y[1] + y[2] - y[3]
+        det = ax * by - bx * ay
+        g, h = div(sx * by - bx * sy, det), div(ax * sy - sx * ay, det)
+        n = F.lit(1.0) if white_keys is None else col(white_keys).cast("double")
+        return F.when(
+            g.isNotNull() & h.isNotNull(),
+            F.array(
+                div(x[1] - x[0] + g * x[1], n), x[3] - x[0] + h * x[3], x[0],
+                div(y[1] - y[0] + g * y[1], n), y[3] - y[0] + h * y[3], y[0], div(g, n), h, F.lit(1.0),
+            ),
+        )
+
+    return let(col(q), solve)
+
+
 def lifted(h, lift, x, y) -> tuple[Column, Column]:
     """A keybed point moved up to the black keys' tops by the lift's three terms."""
     x, y, h = col(x), col(y), nine(h)
@@ -115,13 +143,17 @@ def local_key_width(h, x, y) -> Column:
 
 def key_width(q, white_keys, width=None, height=None) -> Column:
     """Mean of the back and front edge over the key count, in frame units or in pixels."""
-    p = corners_of(q)
     sx, sy = (F.lit(1.0) if width is None else col(width)), (F.lit(1.0) if height is None else col(height))
 
-    def edge(a, b):
-        return F.hypot((b["x"] - a["x"]) * sx, (b["y"] - a["y"]) * sy)
+    def mean_edge(q):
+        p = corners_of(q)
 
-    return div((edge(p[0], p[1]) + edge(p[3], p[2])) / F.lit(2.0), col(white_keys).cast("double"))
+        def edge(a, b):
+            return F.hypot((b["x"] - a["x"]) * sx, (b["y"] - a["y"]) * sy)
+
+        return (edge(p[0], p[1]) + edge(p[3], p[2])) / F.lit(2.0)
+
+    return div(let(col(q), mean_edge), col(white_keys).cast("double"))
 
 
 def is_mirrored(q) -> Column:
@@ -131,6 +163,10 @@ def is_mirrored(q) -> Column:
 
 def quad_shape(q) -> Column:
     """Edge lengths, fold flag, aspect and end ratio of a quad, in one struct."""
+    return let(col(q), _quad_shape)
+
+
+def _quad_shape(q: Column) -> Column:
     p = corners_of(q)
     signs = [F.signum(cross(p[i], p[(i + 1) % 4], p[(i + 2) % 4])) for i in range(4)]
     edges = [dist(p[i], p[(i + 1) % 4]) for i in range(4)]
@@ -151,6 +187,10 @@ def tenths(x: Column) -> Column:
 
 def quad_reason(shape: Column) -> Column:
     """Why a quad is not a keybed, or the empty string; the first failing rule speaks."""
+    return let(shape, _quad_reason)
+
+
+def _quad_reason(shape: Column) -> Column:
     return (
         F.when(~shape["four"], "needs 4 corners")
         .when(shape["folds"], "corners fold over")

@@ -158,7 +158,9 @@ def black_fronts(keys: DataFrame, axes: DataFrame) -> DataFrame:
     on_top, taken = [at("_f", i) for i in range(4)], [at("_t", i) for i in range(4)]
     upper = _low_high([F.when(on_top[i], fronts[i]) for i in range(4)])
     bottom = _low_high([F.when(~on_top[i], fronts[i]) for i in range(4)])
-    rear = _low_high([F.when(~taken[i], tops[i]) for i in range(4)])
+    # should both front corners meet one top corner, three are left and the first two count
+    left = F.sort_array(F.array_compact(F.array(*[F.when(~taken[i], tops[i]) for i in range(4)])))
+    rear = (at(left, 0)["p"], at(left, 1)["p"])
     shared = G.total([o.cast("int") for o in on_top])
     return flagged.where(shared == 2).select(
         "frame_id", "pitch", bottom[0].alias("bottom_low"), bottom[1].alias("bottom_high"),
@@ -230,28 +232,18 @@ def oriented_crop(quad, width: int = TRACK_WIDTH, height: int = TRACK_HEIGHT) ->
     return G.let(crop_axes(quad, width, height), matrix)
 
 
-def rectified_crop(quads: DataFrame, width: int = TRACK_WIDTH, height: int = TRACK_HEIGHT) -> DataFrame:
-    """The homography from each quad onto the margined rectangle, NULL when degenerate.
+def rectified_crop(quad, width: int = TRACK_WIDTH, height: int = TRACK_HEIGHT) -> Column:
+    """The homography from a quad onto the margined rectangle, NULL when degenerate."""
+    left, top = width * 0.08 / 1.16, height * 0.15 / 1.30
+    w, h = width - 2 * left, height - 2 * top
 
-    The 8x8 systems of an Arrow batch are solved in one call.
-    """
-    from tonewheel.operators.solve import homographies
-
-    left = width * 0.08 / 1.16
-    top = height * 0.15 / 1.30
-    target = [(left, top), (width - left, top), (width - left, height - top), (left, height - top)]
-
-    def run(batches):
-        import numpy as np
-
-        for pdf in batches:
-            src = np.array([[(p["x"], p["y"]) for p in q] for q in pdf["quad"]], dtype=float).reshape(-1, 4, 2)
-            dst = np.broadcast_to(np.array(target), src.shape)
-            h = homographies(src, dst)
-            pdf["to_crop"] = [row.tolist() if np.isfinite(row).all() else None for row in h]
-            yield pdf[["frame_id", "to_crop"]]
+    def placed(inv):
+        r = G.nine(inv)
+        rows = [r[0] * w + r[6] * left, r[1] * w + r[7] * left, r[2] * w + r[8] * left,
+                r[3] * h + r[6] * top, r[4] * h + r[7] * top, r[5] * h + r[8] * top, r[6], r[7], r[8]]
+        return F.when(inv.isNotNull(), F.array(*[div(v, r[8]) for v in rows]))
 
-    return quads.select("frame_id", "quad").mapInPandas(run, "frame_id bigint, to_crop array<double>")
+    return G.let(G.let(G.square_to(quad), G.invert), placed)
 
 
 def clipped_area(points, width: float, height: float) -> float:

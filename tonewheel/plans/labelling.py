@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tonewheel.functions import geometry as G
 from tonewheel.operators import evaluate, labels
 from tonewheel.plans.detection import QUAD_SUMS, quads
+from tonewheel.plans.ingest import SHAPE
 from tonewheel.plans.registry import query, r6
 from tonewheel.sources.fixtures import view
 
@@ -239,13 +240,20 @@ def good_quads(spark, sf):
     return q.withColumn("quad", F.transform("quad", lambda p: G.point(p["x"] * 640.0, p["y"] * 480.0)))
 
 
-@query("b15_rectified_crop")
+@query(
+    "b15_rectified_crop",
+    ("fx_quads",),
+    """SELECT frame_id, pos, round(CASE WHEN pos IN (0, 3) THEN 768e0 * 8e-2 / 116e-2 ELSE 768e0 - 768e0 * 8e-2 / 116e-2 END, 6) AS x,
+ round(CASE WHEN pos <= 1 THEN 16e1 * 15e-2 / 13e-1 ELSE 16e1 - 16e1 * 15e-2 / 13e-1 END, 6) AS y
+FROM shape CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS pos) p WHERE reason = ''""",
+    SHAPE,
+)
 def b15(spark, sf):
-    """Each usable quad's corners through its own crop, which lands them on the rectangle."""
-    q = good_quads(spark, sf)
-    met = q.join(labels.rectified_crop(q), "frame_id").select("frame_id", "to_crop", F.posexplode("quad").alias("pos", "p"))
+    """Each usable quad's corners through its own crop, which must land them on the rectangle."""
+    q = good_quads(spark, sf).withColumn("to_crop", labels.rectified_crop("quad"))
+    met = q.select("frame_id", "to_crop", F.posexplode("quad").alias("pos", "p"))
     x, y = G.project("to_crop", "p.x", "p.y")
-    return met.select("frame_id", "pos", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    return met.select("frame_id", "pos", r6(x).alias("x"), r6(y).alias("y"))
 
 
 @query(
