@@ -24,3 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all the cluster's shuffle partitions before a stage whose work is its Python, not its
+    bytes: left alone, adaptive execution would merge small partitions into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

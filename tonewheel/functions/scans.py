@@ -38,15 +38,6 @@ def _local(spec: Running, window):
     return getattr(F, spec.how)(col(spec.value)).over(rows)
 
 
-def _summary(spec: Running, order: list[str]):
-    if spec.how == "count":
-        return F.count(F.lit(1))
-    if spec.how == "last":
-        value = col(spec.value)
-        return F.max(F.when(value.isNotNull(), F.struct(*order, value.alias("value"))))["value"]
-    return getattr(F, spec.how)(col(spec.value))
-
-
 def running(
     df: DataFrame,
     keys: list[str],
@@ -68,10 +59,15 @@ def running(
         return running(flipped, keys, names, outputs, span).drop(*names)
     chunked = df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(span)))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    local = chunked.select("*", *[_local(s, inside).alias(f"_in_{s.alias}") for s in outputs])
-    sums = chunked.groupBy(*keys, "_chunk").agg(
-        *[_summary(s, order).alias(f"_sum_{s.alias}") for s in outputs]
+    total = [Running(s.alias, s.how, s.value) for s in outputs]
+    # the summaries come from the windowed rows, so both sides of the join share one shuffle of df
+    local = chunked.select(
+        "*",
+        *[_local(s, inside).alias(f"_in_{s.alias}") for s in outputs],
+        *[_local(s, inside).alias(f"_all_{s.alias}") for s in total],
+        F.lead(F.lit(1)).over(inside).isNull().alias("_end"),
     )
+    sums = local.where("_end").select(*keys, "_chunk", *[F.col(f"_all_{s.alias}").alias(f"_sum_{s.alias}") for s in outputs])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
     def carry(s: Running):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tonewheel.functions import geometry as G
 from tonewheel.functions import picks as P
 from tonewheel.functions.geometry import at, col, div, js_round, point
-from tonewheel.functions.lineage import cut
+from tonewheel.functions.lineage import cut, spread
 from tonewheel.functions.quantiles import quantiles
 from tonewheel.functions.scans import Running, numbered, running
 from tonewheel.functions.walk import walk
@@ -272,18 +272,17 @@ def count_gaps(peaks: DataFrame, estimators: DataFrame) -> DataFrame:
     """
     edge = edge_gaps(peaks)
     enough = edge.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= COUNT_LEAST).select("frame_id")
-    edge = edge.join(enough, "frame_id", "left_semi")
+    edge = cut(edge.join(enough, "frame_id", "left_semi"))
     boards = estimators.select(*BOARD, "est")
     walked = boards.join(step_along(edge), "frame_id").select(*BOARD, F.lit(0).alias("start"), "t", "index")
     guess = boards.where("est is not null").join(edge, "frame_id").withColumn("_g", estimate("est", "x", "y")).withColumn(
         "index", js_round("_g").cast("double")
     ).where(F.abs(F.col("_g") - F.col("index")) < SNAP_KEYS).select(*BOARD, F.lit(1).alias("start"), "t", "index")
     keys = [*BOARD, "start"]
-    first = _number(edge, edge_maps(walked.unionByName(guess), keys))
-    second = _number(edge, edge_maps(first, keys))
+    first = cut(_number(edge, edge_maps(walked.unionByName(guess), keys)))
+    again = edge_maps(first, keys)
     # a start whose first numbering leaves too few gaps to refit keeps that numbering
-    refitted = edge_maps(first, keys).select(*keys)
-    kept = first.join(refitted, keys, "left_anti").unionByName(second)
+    kept = cut(first.join(again.select(*keys), keys, "left_anti").unionByName(_number(edge, again)))
     scores = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_error").alias("e"))
     best = scores.groupBy(*BOARD).agg(F.min_by("start", F.struct(-F.col("n"), F.col("e"), F.col("start"))).alias("start"))
     return kept.join(best, keys, "left_semi").select(*BOARD, "ord", "x", "y", F.col("index").cast("int").alias("index"))
@@ -328,7 +327,7 @@ def estimators(peaks: DataFrame, boards: DataFrame) -> DataFrame:
     corners alone speak.
     """
     corners = complete_corners(peaks)
-    coarse = corner_estimators(boards.select(*BOARD).distinct().join(corners, "frame_id"))
+    coarse = cut(corner_estimators(boards.select(*BOARD).distinct().join(corners, "frame_id")))
     counted = count_gaps(peaks, coarse)
     pairs = counted.select(*BOARD, F.col("index").cast("double").alias("src_x"), F.lit(1.0).alias("src_y"), F.col("x").alias("dst_x"), F.col("y").alias("dst_y"))
     n = F.col("white_keys").cast("double")
@@ -443,7 +442,7 @@ def vote(pool: DataFrame) -> DataFrame:
                     out.append((f, c, int(votes[best]), h[best].tolist()))
             yield pd.DataFrame(out, columns=["frame_id", "cand", "votes", "homography"])
 
-    fits = packs.where(F.col("pool_len") <= PACK).drop("_pack").mapInPandas(small, schema)
+    fits = spread(packs.where(F.col("pool_len") <= PACK).drop("_pack"), *CAND).mapInPandas(small, schema)
     return fits.unionByName(_vote_large(sized.where(F.col("pool_len") > PACK), packs.where(F.col("pool_len") > PACK)))
 
 
@@ -598,4 +597,4 @@ def fit_frames(peaks: DataFrame, plan: DataFrame) -> DataFrame:
     pool = cut(build_pool(candidate_peaks(peaks, plan)))
     refined = refine_votes(pool, vote(pool))
     fits = cut(plan.select(*CAND, "white_keys", "phase", "shift", "locked", "width", "height").join(refined, CAND))
-    return whole_board(fit_metrics(accept_fits(pool, fits), peaks))
+    return whole_board(fit_metrics(cut(accept_fits(pool, fits)), peaks))

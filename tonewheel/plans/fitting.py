@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tonewheel.functions import geometry as G
 from tonewheel.functions import picks
+from tonewheel.functions.lineage import cut
 from tonewheel.operators import fit
 from tonewheel.plans.registry import query, r6
 from tonewheel.sources.fixtures import view
@@ -64,7 +65,7 @@ def e2(spark, sf):
 def e3(spark, sf):
     plan = corner_plan(spark, sf)
     corners = fit.complete_corners(peaks(spark, sf))
-    est = fit.corner_estimators(plan.select("frame_id", "white_keys", "phase").join(corners, "frame_id"))
+    est = cut(fit.corner_estimators(plan.select("frame_id", "white_keys", "phase").join(corners, "frame_id")))
     return fit.count_gaps(peaks(spark, sf), est).select("frame_id", "white_keys", "phase", "ord", "index")
 
 
@@ -142,12 +143,12 @@ def e7(spark, sf):
 
 @query("e8_vote")
 def e8(spark, sf):
-    return fit.vote(fit.build_pool(prior_peaks(spark, sf))).select("frame_id", "cand", "votes")
+    return fit.vote(cut(fit.build_pool(prior_peaks(spark, sf)))).select("frame_id", "cand", "votes")
 
 
 @query("e9_refine")
 def e9(spark, sf):
-    pool = fit.build_pool(prior_peaks(spark, sf))
+    pool = cut(fit.build_pool(prior_peaks(spark, sf)))
     fits = fit.refine_votes(pool, fit.vote(pool))
     return fits.select("frame_id", *[F.round(G.at("homography", i), 4).alias(f"h{i}") for i in range(9)])
 
@@ -197,7 +198,7 @@ def moved_fits(spark, sf):
 
 
 def accepted(spark, sf):
-    return fit.accept_fits(fit.build_pool(prior_peaks(spark, sf)), moved_fits(spark, sf))
+    return cut(fit.accept_fits(cut(fit.build_pool(prior_peaks(spark, sf))), moved_fits(spark, sf)))
 
 
 @query("e10_accept_fits", POOL_VIEWS, "SELECT frame_id, inliers, pool_len, round(share, 6) AS inlier_share, round(med, 6) AS reprojection_error, round(key_px, 6) AS key_px FROM fitted", JUDGED)
