@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.functions import geometry as G
 from tonewheel.functions.geometry import col, div
+from tonewheel.functions.lineage import cut
 from tonewheel.functions.quantiles import quantiles
 from tonewheel.functions.scans import numbered
 
@@ -32,92 +34,115 @@ def rolling_latency(lines: DataFrame, keys: list[str], order: list[str], value:
     return out.where(F.col("_chunk") == F.col("_own")).drop("_pos", "_own", "_chunk")
 
 
-def even_points(bar, count: int = EVEN_POINTS) -> Column:
-    """F16: `count` points round a closed outline: every corner, the rest spread by edge length, what
-    is left over going to the largest remainders."""
-    def edges(b):
-        n = F.size(b)
+def _even(bars, count: int):
+    """`count` points round each of n closed outlines of m corners (n, m, 2): every corner, the rest
+    spread by edge length, what is left over going to the largest remainders."""
+    import numpy as np
 
-        def edge(p, i):
-            q = F.get(b, F.pmod(i + 1, n).cast("int"))
-            return F.struct(p.alias("p"), q.alias("q"), F.hypot(q["x"] - p["x"], q["y"] - p["y"]).alias("l"))
+    n, m, _ = bars.shape
+    ends = np.roll(bars, -1, axis=1)
+    lengths = np.hypot(*np.moveaxis(ends - bars, -1, 0))
+    perimeter = lengths.sum(axis=1, keepdims=True)
+    with np.errstate(all="ignore"):
+        share = np.where(perimeter == 0, 1.0, 1.0 + (count - m) * lengths / perimeter)
+    base = np.floor(share)
+    left = count - base.sum(axis=1, keepdims=True)
+    rank = np.argsort(np.argsort(-(share - base), axis=1, kind="stable"), axis=1, kind="stable")
+    parts = (base + left // m + (rank < left % m)).astype(int).ravel()
+    edge = np.repeat(np.arange(n * m), parts)
+    step = np.arange(len(edge)) - np.repeat(np.cumsum(parts) - parts, parts)
+    t = (step / parts[edge])[:, None]
+    a, b = bars.reshape(-1, 2)[edge], ends.reshape(-1, 2)[edge]
+    return (a + (b - a) * t).reshape(n, count, 2)
 
-        return F.transform(b, edge)
 
-    def shares(es):
-        perimeter = F.aggregate(es, F.lit(0.0), lambda a, e: a + e["l"])
-        spare = F.lit(float(count)) - F.size(es)
+def _moves(even, before):
+    """Each even point's distance (n, count) to the nearest edge of the outline before (n, m, 2)."""
+    import numpy as np
 
-        def share(e, i):
-            s = F.coalesce(F.lit(1.0) + div(spare * e["l"], perimeter), F.lit(1.0))
-            return F.struct(e["p"].alias("p"), e["q"].alias("q"), F.floor(s).alias("n"), (s - F.floor(s)).alias("rest"), i.alias("i"))
+    a = before[:, None]
+    d = np.roll(before, -1, axis=1)[:, None] - a
+    p = even[:, :, None] - a
+    with np.errstate(all="ignore"):
+        t = np.nan_to_num((p * d).sum(-1) / (d * d).sum(-1)).clip(0.0, 1.0)
+    return np.hypot(*np.moveaxis(d * t[..., None] - p, -1, 0)).min(axis=2)
 
-        return F.transform(es, share)
 
-    def points(ss):
-        left = F.lit(count) - F.aggregate(ss, F.lit(0).cast("bigint"), lambda a, s: a + s["n"])
-        m = F.size(ss)
+def _by_shape(columns, work):
+    """`work` on outlines batched by their corner counts, as one result per row in order."""
+    import numpy as np
+    import pandas as pd
 
-        def expand(s):
-            rank = F.size(F.filter(ss, lambda o: (o["rest"] > s["rest"]) | ((o["rest"] == s["rest"]) & (o["i"] < s["i"]))))
-            n = s["n"] + F.floor(left / m) + F.when(rank < left % m, 1).otherwise(0)
-            return F.when(
-                n > 0,
-                F.transform(
-                    F.sequence(F.lit(0).cast("bigint"), n - 1),
-                    lambda j: G.point(s["p"]["x"] + (s["q"]["x"] - s["p"]["x"]) * (j / n), s["p"]["y"] + (s["q"]["y"] - s["p"]["y"]) * (j / n)),
-                ),
-            ).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    sizes = pd.Series(list(zip(*[c.map(len) for c in columns])))
+    out: list = [None] * len(sizes)
+    for _, rows in sizes.groupby(sizes).groups.items():
+        made = work(*[np.stack(c.iloc[rows].to_list()) for c in columns])
+        for i, r in zip(rows, made):
+            out[i] = r
+    return pd.Series(out)
 
-        return F.flatten(F.transform(ss, expand))
 
-    return G.let(G.let(G.let(col(bar), edges), shares), points)
+def _axis(bar: str, axis: str) -> Column:
+    return F.transform(bar, lambda p: p[axis])
 
 
 def resample(outlines: DataFrame, count: int = EVEN_POINTS) -> DataFrame:
-    return outlines.withColumn("even", even_points("bar", count))
+    """F16: adds even_x and even_y, `count` points round each outline; numpy on Arrow batches."""
+    @F.pandas_udf("struct<even_x:array<double>,even_y:array<double>>")
+    def spread(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        import numpy as np
 
+        made = _by_shape([x, y], lambda a, b: list(_even(np.stack([a, b], axis=-1), count)))
+        return pd.DataFrame({"even_x": made.map(lambda e: e[:, 0]), "even_y": made.map(lambda e: e[:, 1])})
 
-def _to_segment(p, a, b) -> Column:
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    along = F.coalesce(div((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return F.hypot(a["x"] + dx * t - p["x"], a["y"] + dy * t - p["y"])
+    return outlines.withColumn("_even", spread(_axis("bar", "x"), _axis("bar", "y"))).select("*", "_even.*").drop("_even")
 
 
-def motion(outlines: DataFrame) -> DataFrame:
-    """each even point's distance to the same key's outline in the frame before.
+def move_rows(outlines: DataFrame, count: int = EVEN_POINTS) -> DataFrame:
+    """F17, one row per key and frame: `moves`, each even point's distance to the outline before.
 
     `outlines` has clip_id, frame_index (dense), black, semitone and `bar` in pixels. The frame before
     is found by equality on its index, which spreads a long clip over the cluster.
     """
     key = ["clip_id", "black", "semitone"]
     before = outlines.select(*key, (F.col("frame_index") + 1).alias("frame_index"), F.col("bar").alias("_before"))
-    met = resample(outlines).join(before, [*key, "frame_index"])
+    met = outlines.select(*key, "frame_index", "bar").join(before, [*key, "frame_index"])
+
+    @F.pandas_udf("array<double>")
+    def measure(x: pd.Series, y: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        import numpy as np
+
+        def work(x, y, bx, by):
+            return list(_moves(_even(np.stack([x, y], axis=-1), count), np.stack([bx, by], axis=-1)))
 
-    def move(p):
-        b = F.col("_before")
-        n = F.size(b)
-        return F.array_min(F.transform(b, lambda a, i: _to_segment(p, a, F.get(b, F.pmod(i + 1, n).cast("int")))))
+        return _by_shape([x, y, bx, by], work)
 
-    return met.select(*key, "frame_index", F.posexplode(F.transform("even", move)).alias("pos", "move_px"))
+    axes = [_axis(c, a) for c in ("bar", "_before") for a in "xy"]
+    return met.select(*key, "frame_index", measure(*axes).alias("moves"))
+
+
+def motion(outlines: DataFrame) -> DataFrame:
+    """one row per even point."""
+    rows = move_rows(outlines)
+    return rows.select(*[c for c in rows.columns if c != "moves"], F.posexplode("moves").alias("pos", "move_px"))
 
 
-def steadiness(outlines: DataFrame, moves: DataFrame) -> DataFrame:
+def steadiness(outlines: DataFrame) -> DataFrame:
     """per clip, quantiles of the moves, the share of compared frames that jump, and how far key
     centres swing about their means."""
+    rows = cut(move_rows(outlines))
     def two(c, places=2):
         scale = F.lit(10.0**places)
         return G.js_round(c * scale) / scale
 
     frames = outlines.groupBy("clip_id").agg(F.count_distinct("frame_index").alias("frames"))
-    jumps = moves.groupBy("clip_id", "frame_index").agg(F.max("move_px").alias("_most")).groupBy("clip_id").agg(
+    jumps = rows.groupBy("clip_id", "frame_index").agg(F.max(F.array_max("moves")).alias("_most")).groupBy("clip_id").agg(
         F.count(F.when(F.col("_most") > JUMP_PX, 1)).alias("_jumps")
     )
-    q = quantiles(moves, "move_px", {"move_median": (0.5, "lower"), "move_p95": (0.95, "lower"), "move_p999": (0.999, "lower")}, ["clip_id"])
+    q = quantiles(rows.select("clip_id", F.explode("moves").alias("move_px")), "move_px", {"move_median": (0.5, "lower"), "move_p95": (0.95, "lower"), "move_p999": (0.999, "lower")}, ["clip_id"])
 
     def mean(axis):
-        return F.aggregate("even", F.lit(0.0), lambda a, p: a + p[axis]) / F.size("even")
+        return F.aggregate(f"even_{axis}", F.lit(0.0), lambda a, v: a + v) / F.size(f"even_{axis}")
 
     centres = resample(outlines).select("clip_id", "black", "semitone", mean("x").alias("mx"), mean("y").alias("my"))
     swings = centres.groupBy("clip_id", "black", "semitone").agg(F.sqrt(F.var_pop("mx") + F.var_pop("my")).alias("swing"))

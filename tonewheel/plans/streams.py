@@ -49,8 +49,8 @@ def outlines(spark, sf):
 
 @query("f16_resample", ("fx_frames",), "SELECT frame_id, semitone, pos, round(x, 6) AS x, round(y, 6) AS y FROM ev", OUTLINES)
 def f16(spark, sf):
-    even = motion.resample(outlines(spark, sf)).select("frame_id", "semitone", F.posexplode("even").alias("pos", "p"))
-    return even.select("frame_id", "semitone", "pos", r6("p.x").alias("x"), r6("p.y").alias("y"))
+    even = motion.resample(outlines(spark, sf)).select("frame_id", "semitone", F.posexplode(F.arrays_zip("even_x", "even_y")).alias("pos", "p"))
+    return even.select("frame_id", "semitone", "pos", r6("p.even_x").alias("x"), r6("p.even_y").alias("y"))
 
 
 @query("f17_motion", ("fx_frames",), "SELECT clip_id, frame_index, semitone, pos, round(m, 6) AS move_px FROM mv", MOVES)
@@ -70,8 +70,7 @@ LEFT JOIN (SELECT clip_id, list_sort(list(sw)) AS s FROM (SELECT clip_id, semito
     MOVES,
 )
 def f18(spark, sf):
-    o = outlines(spark, sf)
-    return motion.steadiness(o, motion.motion(o))
+    return motion.steadiness(outlines(spark, sf))
 
 
 LUMA = """
