@@ -368,13 +368,21 @@ def back_edge_distances(backs: DataFrame, fits: DataFrame) -> DataFrame:
 
 def back_edge_report(distances: DataFrame) -> DataFrame:
     """per case colour and over all: count, signed median, absolute median and p90."""
-    named = distances.withColumn(
-        "case_color", F.explode(F.array(F.lit("all"), F.coalesce("case_color", F.lit("unnamed"))))
-    ).withColumn("off_px", F.abs("ahead_px"))
+    named = distances.select(
+        F.explode(F.array(F.lit("all"), F.coalesce("case_color", F.lit("unnamed")))).alias("case_color"), "ahead_px"
+    )
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in (("ahead", F.col("ahead_px")), ("off", F.abs("ahead_px")))])
+    values = named.select("case_color", F.explode(kinds).alias("k")).select("case_color", "k.kind", "k.v")
+    q = quantiles(values, "v", {"median": (0.5, "trunc"), "p90": (0.9, "trunc")}, ["case_color", "kind"])
+
+    def pick(kind, what):
+        return F.max(F.when(F.col("kind") == kind, F.col(what)))
+
+    report = q.groupBy("case_color").agg(
+        pick("ahead", "median").alias("ahead_median"), pick("off", "median").alias("off_median"), pick("off", "p90").alias("off_p90")
+    )
     counts = named.groupBy("case_color").agg(F.count("ahead_px").alias("backs"))
-    ahead = quantiles(named, "ahead_px", {"ahead_median": (0.5, "trunc")}, ["case_color"])
-    off = quantiles(named, "off_px", {"off_median": (0.5, "trunc"), "off_p90": (0.9, "trunc")}, ["case_color"])
-    return counts.join(ahead, "case_color", "left").join(off, "case_color", "left")
+    return counts.join(report, "case_color", "left")
 
 
 def end_for_end(frames: DataFrame) -> DataFrame:
