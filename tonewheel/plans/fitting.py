@@ -87,10 +87,6 @@ POOL_VIEWS = ("fx_truth", "fx_fit_peaks", "fx_template")
 SNAP = "SELECT frame_id, channel, CAST(ord AS BIGINT) AS ord, round(src_x, 6) AS src_x, round(src_y, 6) AS src_y FROM "
 
 
-def placed(spark, sf):
-    return fit.candidate_peaks(peaks(spark, sf), prior_plan(spark, sf).where("prior_inverse is not null"))
-
-
 def prior_peaks(spark, sf):
     """The candidates' peaks placed through the planted fits alone."""
     plan = prior_plan(spark, sf)

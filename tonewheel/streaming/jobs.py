@@ -95,7 +95,6 @@ def stream(frames: DataFrame, step: Callable, order: str = "frame_index") -> Dat
     """
     def update(key, batches, state):
         import pandas as pd
-        from pyspark.sql.types import StructType  # noqa: F401
 
         held, last = (json.loads(state.get[0]), state.get[1]) if state.exists else (None, -1)
         rows = sorted((_plain(r) for pdf in batches for r in pdf.to_dict("records")), key=lambda r: r[order])
