@@ -26,10 +26,9 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     by = by.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0)))
     by = by.withColumn("w_left", F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing)))
     by = by.withColumn("level", F.when(F.col("most") * F.col("w_left") > F.col("w") * F.col("left"), F.col("left") / F.col("w_left")))
-    level = F.coalesce(F.max("level").over(everything) * F.lit(0) + F.min("level").over(everything), F.lit(0.0))
     first = F.first("level", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     capped = F.col("most") * F.col("w_left") <= F.col("w") * F.col("left")
-    share = F.when(capped, F.col("most").cast("double")).otherwise(F.col("w") * F.coalesce(first, level))
+    share = F.when(capped, F.col("most").cast("double")).otherwise(F.col("w") * first)
     return by.select("source", "source_size", share.alias("target"))
 
 
