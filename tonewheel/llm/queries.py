@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewheel.llm import mix
+from tonewheel.llm import mix, token_counts
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op9_mix_sources": op9_mix_sources}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_counts.cached_counts(docs, public_tokenizers.path("word_bpe_49k.json"), token_counts.fresh_cache(docs))
+
+
+QUERIES = {"op10_token_counts": op10_token_counts, "op9_mix_sources": op9_mix_sources}
 ORACLES: dict[str, str] = {}
