@@ -43,8 +43,7 @@ def main() -> None:
     took = {}
     for name in QUERIES:
         warm = once(name)
-        runs = 1 if warm > 5 else RUNS
-        took[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
+        took[name] = round(statistics.median(once(name) for _ in range(RUNS)), 3)
         print(f"{name}: first {warm:.2f} s, then {took[name]:.2f} s", file=sys.stderr, flush=True)
     spark.stop()
     print(
