@@ -3,20 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonewheel.llm import mix, token_counts
+from tonewheel.functions.lineage import cut
+from tonewheel.llm import block_names, bpe_automaton, chat, mix, quality, token_counts, toxicity, warc
 
 
-def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tokenizer(name: str) -> str:
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return token_counts.cached_counts(docs, public_tokenizers.path("word_bpe_49k.json"), token_counts.fresh_cache(docs))
+    return public_tokenizers.path(name)
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_names.dedup(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long"), "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.formatted_and_read(rows.unionByName(extra), _tokenizer("byte_bpe_50k.json"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"), warc.shared_folder(spark, "warc"))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cut(quality.measured(_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text"))
+    judged = quality.judged(rows, quality.cutoffs(rows, _table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "m.*", "base_failed", "kept")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts.cached_counts(docs, _tokenizer("word_bpe_49k.json"), token_counts.fresh_cache(docs))
 
 
-QUERIES = {"op10_token_counts": op10_token_counts, "op9_mix_sources": op9_mix_sources}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_chat": op5_chat,
+    "op6_warc": op6_warc,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_mix_sources": op9_mix_sources,
+    "op10_token_counts": op10_token_counts,
+}
+ORACLES: dict[str, str] = {"op4_exact_dedup": block_names.ORACLE}
