@@ -43,14 +43,14 @@ def measures(text: str) -> tuple[int, ...]:
     return len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated
 
 
-@F.pandas_udf(", ".join(f"{name} long" for name in MEASURES))
-def _measured(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measures(text) for text in texts], columns=MEASURES)
-
-
 def measured(docs: DataFrame, out: str = "m") -> DataFrame:
     """`docs` with the struct `out` of the measures of the whole text (null: empty)."""
-    return docs.withColumn(out, _measured(F.coalesce(F.col("text"), F.lit(""))))
+
+    @F.pandas_udf(", ".join(f"{name} long" for name in MEASURES))
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measures(text) for text in texts], columns=MEASURES)
+
+    return docs.withColumn(out, of(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def tail(rejected: int, n: int, risk: float) -> float:

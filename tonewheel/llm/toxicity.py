@@ -37,14 +37,16 @@ def marks(text: str) -> Counter:
 
 
 class LabelModel:
-    """Two latent classes; each voter fires with its own rate in each. EM from the labels' posterior.
+    """Two latent classes; each voter fires with its own rate in each. The label is a voter whose accuracy is
+    given, so that EM cannot drift to another pair of classes.
 
     Voters that fire together within a class more often than independence allows share their weight: a voter counts
     1 / (1 + sum of its positive conditional correlations), so that near copies of one voter do not count twice.
     """
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, steps: int = 10) -> np.ndarray:
-        posterior = start
+    def fit(self, votes: np.ndarray, label: np.ndarray, accuracy: float = 0.98, steps: int = 10) -> np.ndarray:
+        said = np.where(label == 1, 1, -1) * np.log(accuracy / (1 - accuracy))
+        posterior = np.where(label == 1, accuracy, 1 - accuracy)
         for _ in range(steps):
             prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
             mass = np.array([(1 - posterior).sum(), posterior.sum()])
@@ -59,7 +61,7 @@ class LabelModel:
             np.fill_diagonal(together, 0)
             weight = 1 / (1 + np.where(together > 0.2, together, 0).sum(axis=0))
             on, off = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
-            odds = np.log(prior / (1 - prior)) + votes @ (weight * on) + (1 - votes) @ (weight * off)
+            odds = np.log(prior / (1 - prior)) + said + votes @ (weight * on) + (1 - votes) @ (weight * off)
             posterior = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         return posterior
 
@@ -109,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     table = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("y", counted("text").alias("x")).toPandas()
     x, y = np.array(table["x"].tolist(), dtype=float), table["y"].to_numpy(float)
     votes = (x > 0).astype(float)
-    posterior = LabelModel().fit(votes, np.where(y == 1, 0.95, 0.02))
+    posterior = LabelModel().fit(votes, y)
     return names, fit_linear(_features(x), posterior)
 
 
