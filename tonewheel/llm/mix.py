@@ -46,9 +46,9 @@ def mix(docs: DataFrame) -> DataFrame:
     sums = sums.select(F.col("source").alias("s_source"), F.col("b").alias("s_b"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "b").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("b") == F.col("s_b")))
     goal = targets(sized).withColumnRenamed("source", "t_source")
-    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("t_source")))
+    sums = sums.join(goal, F.col("s_source").eqNullSafe(F.col("t_source")))
+    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("b") == F.col("s_b")))
     rounds = F.floor(F.col("target") / F.col("source_size"))
     rest = F.floor(F.col("target") - rounds * F.col("source_size")) - F.col("base") - F.col("within")
     part = F.greatest(F.lit(0), F.least(rest, F.col("size")))

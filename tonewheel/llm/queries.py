@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewheel.functions.lineage import cut
-from tonewheel.llm import block_names, bpe_automaton, chat, mix, quality, signature_tree, token_counts, toxicity, warc
+from tonewheel.llm import block_names, bpe_automaton, chat, main_text, mix, quality, signature_tree, token_counts, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.join(_table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.train(pages))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -63,8 +68,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.cached_counts(docs, _tokenizer("word_bpe_49k.json"), token_counts.fresh_cache(docs))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_main_text": op2_main_text,
     "op3_bpe": op3_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_chat": op5_chat,
@@ -73,5 +85,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {"op4_exact_dedup": block_names.ORACLE}
