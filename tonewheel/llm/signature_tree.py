@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewheel.functions.lineage import cut
+from tonewheel.llm.heavy import attach
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -157,13 +158,17 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     is not null. Other columns are ignored.
     """
 
-    @F.pandas_udf("h array<long>, node string, n long")
+    @F.pandas_udf("h array<long>, digest string, n long")
     def as_set(texts: pd.Series) -> pd.DataFrame:
         found = [shingles(t, n) for t in texts]
-        return pd.DataFrame({"h": found, "node": [hashlib.md5(h.tobytes()).hexdigest() if len(h) else None for h in found], "n": [len(h) for h in found]})
+        return pd.DataFrame({"h": found, "digest": [hashlib.md5(h.tobytes()).hexdigest() if len(h) else None for h in found], "n": [len(h) for h in found]})
 
     rows = cut(docs.select("doc_id", as_set(F.coalesce(F.col("text"), F.lit(""))).alias("s")).select("doc_id", "s.*"))
-    sets = cut(rows.where("n > 0").groupBy("node").agg(F.first("h").alias("h"), F.first("n").alias("n")))
+    sets = rows.where("n > 0").groupBy("digest").agg(
+        F.first("h").alias("h"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")
+    )
+    # numbers are far smaller than digests in all that follows; stored, they never change
+    sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
     weight = _token_order(sets)
 
     @F.pandas_udf("array<long>")
@@ -182,7 +187,9 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     # first every set once, in a block of one shared token: finds most links while whole sets are at hand
     home = met.groupBy("node").agg(F.max(F.struct("members", "token")).alias("home")).select("node", "home.*")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
-    blocks = sets.join(home.select("node", "token", salt.alias("part")), "node").repartition("token", "part")
+    # stored, so that Spark knows its size: a small list of homes is broadcast, a large one joins by shuffle
+    home = cut(home.select("node", "token", salt.alias("part")))
+    blocks = sets.select("node", "h", "n").join(home, "node").repartition("token", "part")
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _groups(batches, ["token", "part"]):
@@ -205,7 +212,7 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
             if len(at):
                 yield pd.DataFrame({"a": names[tops[at]], "b": names[at]})
 
-    first = cut(blocks.sortWithinPartitions("token", "part").mapInPandas(inside, "a string, b string"))
+    first = cut(blocks.sortWithinPartitions("token", "part").mapInPandas(inside, "a long, b long"))
     known = components(first)
 
     # then across blocks, only where a token still meets two components
@@ -216,7 +223,7 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     members = cut(met.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     open_rows = cut(members.join(mixed, "token"))
-    signed = cut(sets.join(open_rows.select("node").distinct(), "node").select("node", "n", signature("h").alias("map")))
+    signed = cut(sets.join(cut(open_rows.select("node").distinct()), "node").select("node", "n", signature("h").alias("map")))
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     spread = open_rows.join(signed, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -242,7 +249,7 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
                     yield pd.DataFrame({"a": names[i], "b": names[j], "ca": comps[i], "cb": comps[j]})
 
     keys = ["token", "lo", "hi"]
-    pairs = spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(across, "a string, b string, ca string, cb string")
+    pairs = spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(across, "a long, b long, ca long, cb long")
     pairs = cut(pairs.distinct())
     left, right = (sets.select(F.col("node").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
 
@@ -254,14 +261,11 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     merged = components(cut(second.distinct())).select(F.col("node").alias("component"), F.col("component").alias("top"))
     found = known.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = merged.join(known.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(found.unionByName(alone), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    tops = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = cut(classes.select("node", "component", "least").join(tops, "component").select("node", "component_id"))
-    counted = rows.where("n > 0").groupBy("node").agg(F.count("*").alias("copies")).join(ids, "node")
-    from tonewheel.llm.heavy import attach
-
-    together = attach(rows.where("n > 0").select("doc_id", "node", "n"), cut(counted), "node", "copies")
+    classes = sets.select("digest", "node", "least", "copies").join(found.unionByName(alone), "node", "left")
+    classes = cut(classes.withColumn("component", F.coalesce("component", "node")))
+    tops = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    counted = attach(classes, cut(tops), "component", "members").select("digest", "copies", "component_id")
+    together = attach(rows.where("n > 0").select("doc_id", "digest", "n"), cut(counted), "digest", "copies")
     together = together.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return together.unionByName(empty)
