@@ -1,14 +1,14 @@
 """N-gram Jaccard join by signature trees.
 
-Distinct shingle sets that share a rare-first prefix token meet in blocks of bounded size. A block is a tree whose nodes
+Distinct texts whose shingle sets share a rare-first prefix token meet in blocks of bounded size. A block is a tree whose nodes
 hold the OR and AND of their members' bitmaps and a size range; two trees are walked together, and a pair of nodes is
 left as soon as no pair below it can reach the wanted overlap, or all below it is known to be connected.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewheel.functions.lineage import cut
+from tonewheel.functions.lineage import checkpoint_dir, cut
 from tonewheel.llm.heavy import attach
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -27,6 +27,22 @@ BITS = 1024
 BUCKETS = 1 << 18
 BLOCK = 1024
 LEAF = 16
+WORDS_KEPT = 200_000
+
+
+class Hashes(dict):
+    """The hash of each word, kept for short words up to a fixed number of them."""
+
+    def __missing__(self, word: str) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = value
+        return value
+
+
+KNOWN = Hashes()
 
 
 def shingles(text: str, n: int = N) -> np.ndarray:
@@ -34,8 +50,7 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     words = WORD.findall(text.translate(LOWER))
     if not words:
         return np.empty(0, np.int64)
-    known = {w: xxhash.xxh3_64_intdigest(w) for w in set(words)}
-    h = np.array([known[w] for w in words], dtype=np.uint64)
+    h = np.fromiter(map(KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for i in range(n):
@@ -119,18 +134,18 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held)
 
 
-def _token_order(sets: DataFrame) -> np.ndarray:
+def _token_order(texts: DataFrame, n: int) -> np.ndarray:
     """How many tokens fall in each of BUCKETS hash buckets: a summary of fixed size that puts frequent tokens last."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for h in batch["h"]:
-                np.add.at(total, np.asarray(h, dtype=np.int64) % BUCKETS, 1)
+            for text in batch["text"]:
+                np.add.at(total, shingles(text, n) % BUCKETS, 1)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at, "n": total[at]})
 
-    counted = sets.select("h").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(BUCKETS, dtype=np.int64)
     out[counted["bucket"]] = counted["n"]
     return out
@@ -158,29 +173,31 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     is not null. Other columns are ignored.
     """
 
-    @F.pandas_udf("h array<long>, digest string, n long")
-    def as_set(texts: pd.Series) -> pd.DataFrame:
-        found = [shingles(t, n) for t in texts]
-        return pd.DataFrame({"h": found, "digest": [hashlib.md5(h.tobytes()).hexdigest() if len(h) else None for h in found], "n": [len(h) for h in found]})
-
-    rows = cut(docs.select("doc_id", as_set(F.coalesce(F.col("text"), F.lit(""))).alias("s")).select("doc_id", "s.*"))
-    sets = rows.where("n > 0").groupBy("digest").agg(
-        F.first("h").alias("h"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.count("*").alias("copies")
-    )
-    # numbers are far smaller than digests in all that follows; stored, they never change
-    sets = cut(sets.withColumn("node", F.monotonically_increasing_id()))
-    weight = _token_order(sets)
-
-    @F.pandas_udf("array<long>")
-    def prefix(some: pd.Series) -> pd.Series:
-        def of(h):
-            h = np.asarray(h, dtype=np.int64)
-            most = len(h) - -(-percent * len(h) // 100) + 1
-            return h[np.lexsort((h, weight[h % BUCKETS]))[:most]]
-
-        return some.map(of)
-
-    tokens = cut(sets.select("node", F.explode(prefix("h")).alias("token")))
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"))
+    named = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    each = named.groupBy("digest").agg(F.first("text").alias("text"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # texts move once and are stored by digest, so that joins on it leave them where they are; numbers stand for digests after this
+    stored = f"texts_{uuid.uuid4().hex}"
+    each = each.withColumn("node", F.monotonically_increasing_id())
+    at = f"{checkpoint_dir(spark)}/{stored}"
+    each.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "digest").option("path", at).saveAsTable(stored)
+    texts = spark.table(stored)
+    weight = _token_order(texts, n)
+
+    @F.pandas_udf("n long, map binary, prefix array<long>")
+    def describe(batch: pd.Series) -> pd.DataFrame:
+        def of(t):
+            h = shingles(t, n)
+            most = len(h) - -(-percent * len(h) // 100) + 1 if len(h) else 0
+            return len(h), bitmap(h).tobytes(), h[np.lexsort((h, weight[h % BUCKETS]))[:most]]
+
+        return pd.DataFrame([of(t) for t in batch], columns=["n", "map", "prefix"])
+
+    described = texts.select("node", "digest", "least", "copies", describe("text").alias("d"))
+    sets = cut(described.select("node", "digest", "least", "copies", "d.*"))
+    tokens = sets.select("node", F.explode("prefix").alias("token"))
     shared = cut(tokens.groupBy("token").agg(F.count("*").alias("members")).where("members > 1"))
     met = cut(tokens.join(shared, "token"))
 
@@ -188,13 +205,13 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     home = met.groupBy("node").agg(F.max(F.struct("members", "token")).alias("home")).select("node", "home.*")
     salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK))
     # stored, so that Spark knows its size: a small list of homes is broadcast, a large one joins by shuffle
-    home = cut(home.select("node", "token", salt.alias("part")))
-    blocks = sets.select("node", "h", "n").join(home, "node").repartition("token", "part")
+    home = cut(home.select("node", "token", salt.alias("part")).join(sets.select("node", "digest", "n"), "node"))
+    blocks = texts.select("digest", "text").join(home, "digest").drop("digest").repartition("token", "part")
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _groups(batches, ["token", "part"]):
             block = block.sort_values(["n", "node"])
-            hs, names, root = [np.asarray(h) for h in block["h"]], block["node"].to_numpy(), np.arange(len(block))
+            hs, names, root = [shingles(t, n) for t in block["text"]], block["node"].to_numpy(), np.arange(len(block))
 
             def find(i: int) -> int:
                 while root[i] != i:
@@ -216,14 +233,10 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     known = components(first)
 
     # then across blocks, only where a token still meets two components
-    @F.pandas_udf("binary")
-    def signature(some: pd.Series) -> pd.Series:
-        return some.map(lambda h: bitmap(np.asarray(h)).tobytes())
-
     members = cut(met.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     open_rows = cut(members.join(mixed, "token"))
-    signed = cut(sets.join(cut(open_rows.select("node").distinct()), "node").select("node", "n", signature("h").alias("map")))
+    signed = cut(sets.select("node", "n", "map").join(cut(open_rows.select("node").distinct()), "node"))
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     spread = open_rows.join(signed, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -251,21 +264,22 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     keys = ["token", "lo", "hi"]
     pairs = spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(across, "a long, b long, ca long, cb long")
     pairs = cut(pairs.distinct())
-    left, right = (sets.select(F.col("node").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
+    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
 
     @F.pandas_udf("boolean")
     def link(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([linked(x, y, percent) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([linked(shingles(x, n), shingles(y, n), percent) for x, y in zip(a, b)], dtype=bool)
 
-    second = pairs.join(left, "a").join(right, "b").where(link("ha", "hb")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    second = pairs.join(left, "a").join(right, "b").where(link("text_a", "text_b")).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     merged = components(cut(second.distinct())).select(F.col("node").alias("component"), F.col("component").alias("top"))
     found = known.join(merged, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = merged.join(known.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
-    classes = sets.select("digest", "node", "least", "copies").join(found.unionByName(alone), "node", "left")
+    classes = sets.select("digest", "node", "n", "least", "copies").join(found.unionByName(alone), "node", "left")
     classes = cut(classes.withColumn("component", F.coalesce("component", "node")))
+    spark.sql(f"DROP TABLE {stored}")
     tops = classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    counted = attach(classes, cut(tops), "component", "members").select("digest", "copies", "component_id")
-    together = attach(rows.where("n > 0").select("doc_id", "digest", "n"), cut(counted), "digest", "copies")
-    together = together.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return together.unionByName(empty)
+    counted = attach(classes, cut(tops), "component", "members").select("digest", "n", "copies", "component_id")
+    together = attach(rows, cut(counted), "digest", "copies")
+    # without words a row is linked with nothing, not even with its copies
+    alone_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return together.select("doc_id", F.col("n").alias("n_shingles"), alone_id.alias("component_id"))
