@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame
 
 def checkpoint_dir(spark) -> str:
     """The shared folder the cluster names; a temporary one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return spark.conf.get("spark.checkpoint.dir", None) or _scratch()
+
+
+@functools.cache
+def _scratch() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def match_nearest(
     def reach(c):
         return F.sequence(cell(F.col(c) - radius), cell(F.col(c) + radius))
 
-    seekers = labels.withColumn("_cx", F.explode(reach("x"))).withColumn("_cy", F.explode(reach("y")))
+    seekers = labels.withColumn("_cx", F.explode_outer(reach("x"))).withColumn("_cy", F.explode_outer(reach("y")))
     near = seekers.join(spots, ["frame_id", "channel", "_cx", "_cy"], "left")
     keys = div(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")), F.col("key_px"))
     best = near.groupBy(*labels.columns).agg(F.min(F.when(keys <= match_keys, keys)).alias("error_keys"))

@@ -24,8 +24,9 @@ def rolling_latency(lines: DataFrame, keys: list[str], order: list[str], value:
     the history it needs and no key is held by one task.
     """
     placed = numbered(lines, keys, order, "_pos")
-    chunk = F.floor((F.col("_pos") - 1) / CHUNK)
-    tail = (F.col("_pos") - 1) % CHUNK >= CHUNK - (size - 1)
+    length = max(CHUNK, size)
+    chunk = F.floor((F.col("_pos") - 1) / length)
+    tail = (F.col("_pos") - 1) % length >= length - (size - 1)
     spread = placed.withColumn("_own", chunk).withColumn(
         "_chunk", F.explode(F.when(tail, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
     )
