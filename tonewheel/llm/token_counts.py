@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewheel.functions.lineage import checkpoint_dir
+
 SCHEMA = "text_digest string, version string, n_tokens long"
 
 
@@ -53,4 +55,4 @@ def cached_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) ->
 
 def fresh_cache(docs: DataFrame) -> str:
     """A new cache folder under spark.checkpoint.dir."""
-    return f"{docs.sparkSession.conf.get('spark.checkpoint.dir').rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
