@@ -25,21 +25,36 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return block_names.keep_first(docs.select(*COLUMNS))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows of a stored table with a number each: doc_ids may be null or repeated."""
+    return docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similarities of 0.8 or more on five-word shingles, the smallest doc_id stays.
+    """Of rows connected by similarities of 0.8 or more on five-word shingles, the one of the smallest doc_id stays.
 
-    Documents without words or without doc_id have no near copies and stay.
+    A null doc_id comes after all others; of rows with one doc_id the first of the stored table stays. Rows without
+    words have no near copies and stay. `docs` must be a stored table.
     """
-    found = signature_tree.join(docs, NEAR_PERCENT, NEAR_WORDS)
-    dropped = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti")
+    rows = _numbered(docs)
+    found = signature_tree.join(rows.select(F.col("row").alias("doc_id"), "text"), NEAR_PERCENT, NEAR_WORDS)
+    later = cut(found.where("doc_id != component_id").select(F.col("doc_id").alias("row"), "component_id"))
+    copies = later.unionByName(later.select(F.col("component_id").alias("row"), "component_id").distinct())
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    first = copies.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    dropped = copies.select("row").join(first.select("first.row"), "row", "left_anti")
+    return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its share of the mix asks: whole copies, and one more for a part taken of it."""
-    taken = mix.mix(docs).groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias("copies"))
-    rows = docs.select(*COLUMNS).join(taken, "doc_id").where("copies > 0")
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each row as often as its share of the mix asks: whole copies, and one more for a part taken of it.
+
+    `docs` must be a stored table.
+    """
+    rows = _numbered(docs)
+    copies = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
+    taken = mix.mix(rows, keep=("row",)).select("row", copies.alias("copies")).where("copies > 0")
+    return rows.join(taken, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,19 +32,20 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return by.select("source", "source_size", share.alias("target"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row; a null text has size 0, repeated rows count apart.
+def mix(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and the columns `keep` for each row; a null text has size 0, repeated rows
+    count apart.
 
     A source's rows are ordered by md5 of doc_id (null: 'null'). Its order is cut into 4,096 hash ranges whose sums
     are added up first, so that a hot source spreads over tasks.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), key.alias("k")).withColumn("b", F.substring("k", 1, 3))
+    sized = docs.select("doc_id", "source", size.alias("size"), key.alias("k"), *keep).withColumn("b", F.substring("k", 1, 3))
     sums = sized.groupBy("source", "b").agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s_source"), F.col("b").alias("s_b"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "b").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "b").orderBy("k", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     rows = sized.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     goal = targets(sized).withColumnRenamed("source", "t_source")
     sums = sums.join(goal, F.col("s_source").eqNullSafe(F.col("t_source")))
@@ -53,4 +54,4 @@ def mix(docs: DataFrame) -> DataFrame:
     rest = F.floor(F.col("target") - rounds * F.col("source_size")) - F.col("base") - F.col("within")
     part = F.greatest(F.lit(0), F.least(rest, F.col("size")))
     taken = F.when(F.col("source_size") > 0, rounds * F.col("size") + part).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *keep)
