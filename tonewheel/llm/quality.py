@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ RULES = {
     "dup_line_share": ("n_dup_lines / greatest(n_words, 1)", (0.005, 0.01, 0.02, 0.04, 0.08)),
     "mean_word": ("word_chars / greatest(n_words, 1)", (8.0, 9.0, 10.0, 12.0, 15.0)),
 }
+# The order in which rules are tightened one after the other: what good prose shows least comes first.
+CHAIN = ("symbol_share", "mean_word", "dup_line_share", "repeat_share")
 
 
 def measures(text: str) -> tuple[int, ...]:
@@ -64,43 +67,79 @@ def tail(rejected: int, n: int, risk: float) -> float:
     return min(total, 1.0)
 
 
+def setting(good: np.ndarray, bad: np.ndarray, level: float, risk: float) -> tuple[int, ...]:
+    """For each rule the place of its cutoff among those to try, or their number for no cutoff.
+
+    `good` and `bad` count a stratum's labelled documents by how many cutoffs of each rule they exceed, an axis a rule.
+    A setting is admitted where the exact binomial test shows that it rejects at most `risk` of the good documents. Half
+    of `level` tests a fixed sequence, CHAIN rule by rule from the loosest cutoff to the strictest, up to the first
+    failure; the other half is divided over all settings. All admitted ones hold together with probability 1 - level, so
+    labels may choose among them: most bad documents rejected, then fewest good ones, then the strictest.
+    """
+    kept = {}
+    for name, counts in (("good", good), ("bad", bad)):
+        for axis in range(counts.ndim):
+            counts = counts.cumsum(axis)
+        kept[name] = counts
+    n, rejected = int(good.sum()), int(good.sum()) - kept["good"]
+    p = {int(k): tail(int(k), n, risk) if k < n * risk else 1.0 for k in np.unique(rejected)}
+    none = tuple(size - 1 for size in good.shape)
+    admitted = [s for s in np.ndindex(*good.shape) if p[int(rejected[s])] <= level / 2 / (good.size - 1)]
+    at, names = list(none), list(RULES)
+    for axis in map(names.index, CHAIN):
+        while at[axis] > 0:
+            at[axis] -= 1
+            if p[int(rejected[tuple(at)])] > level / 2:
+                break
+            admitted.append(tuple(at))
+        else:
+            continue
+        break
+    return min(admitted, key=lambda s: (kept["bad"][s], rejected[s], sum(s), s), default=none)
+
+
 def cutoffs(rows: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """One row per stratum (`lang`; null is a stratum) that has a cutoff: lang and a nullable cutoff for each rule.
 
     The holdout is every labelled good document of `rows` (doc_id, lang, m); of several labels for a doc_id the lower
-    quality counts. A cutoff is admitted where the exact binomial test shows, at level error / (strata * rules *
-    cutoffs), that it rejects at most risk / rules of the stratum's good documents; the strictest admitted one is taken.
-    So with probability 1 - error, no stratum loses more than `risk`. Without enough labels there is no cutoff.
+    quality counts. The rules are tested together, see `setting`, at level error / strata. So with probability
+    1 - error, no stratum loses more than `risk`. Without enough labels there is no cutoff.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = rows.select("doc_id", "lang", "m.*").join(good, "doc_id")
-    counts = [F.count_if(F.expr(f"{share} > {c}")).alias(f"{rule}_{i}") for rule, (share, tried) in RULES.items() for i, c in enumerate(tried)]
-    counted = held.groupBy("lang").agg(F.count("*").alias("n"), *counts)
-    strata = counted.agg(F.count("*").alias("strata"))
-    each, tests = risk / len(RULES), sum(len(tried) for _, tried in RULES.values())
-
-    @F.pandas_udf(", ".join(f"{rule} double" for rule in RULES))
-    def choose(table: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in table.to_dict("records"):
-            level = error / (tests * row["strata"])
-            out.append([next((c for i, c in enumerate(tried) if tail(row[f"{rule}_{i}"], row["n"], each) <= level), None)
-                        for rule, (_, tried) in RULES.items()])
-        return pd.DataFrame(out, columns=list(RULES), dtype=float)
+    label = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality in (0, 1)")
+    held = rows.select("doc_id", "lang", "m.*").join(label, "doc_id")
+    over = [F.expr(" + ".join(f"int({share} > {c})" for c in tried)).alias(rule) for rule, (share, tried) in RULES.items()]
+    stays = F.col("quality").eqNullSafe(0) & ~base_failed("n_words", "n_repeat_words")
+    held = held.select("lang", "quality", stays.alias("stays"), *over)
+    counted = held.groupBy("lang", *RULES).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("stays")).alias("bad"))
+    strata = counted.where("good > 0").agg(F.count_distinct(F.struct("lang")).alias("strata"))
+    shape = [len(tried) + 1 for _, tried in RULES.values()]
 
+    def choose(table: pd.DataFrame) -> pd.DataFrame:
+        good, bad = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        at = tuple(table[rule].to_numpy() for rule in RULES)
+        good[at], bad[at] = table["good"], table["bad"]
+        chosen = setting(good, bad, error / max(int(table["strata"].iloc[0]), 1), risk)
+        found = [tried[i] if i < len(tried) else None for i, (_, tried) in zip(chosen, RULES.values())]
+        return pd.DataFrame([[table["lang"].iloc[0], *found]], columns=["lang", *RULES]).astype(dict.fromkeys(RULES, float))
+
+    # a stratum has at most one row for each setting, however many documents there are
     both = counted.join(F.broadcast(strata))
-    chosen = both.withColumn("c", choose(F.struct(*[c for c in both.columns if c != "lang"])))
-    return chosen.select("lang", "c.*").where(F.coalesce(*[F.col(rule) for rule in RULES]).isNotNull())
+    schema = f"lang {rows.schema['lang'].dataType.simpleString()}, " + ", ".join(f"{rule} double" for rule in RULES)
+    chosen = both.groupBy("lang").applyInPandas(choose, schema)
+    return chosen.where(F.coalesce(*[F.col(rule) for rule in RULES]).isNotNull())
+
+
+def base_failed(n: str, repeated: str):
+    return (F.col(n) < 10) | (100 * F.col(repeated) > 20 * F.col(n))
 
 
 def judged(rows: DataFrame, table: DataFrame) -> DataFrame:
     """`rows` (with lang and m) with base_failed and kept. A stratum without cutoffs loses only what fails the base."""
     table = table.select(F.col("lang").alias("cut_lang"), F.struct(*RULES).alias("cut"))
-    n, repeated = F.col("m.n_words"), F.col("m.n_repeat_words")
     rejected = F.lit(False)
     for rule, (share, _) in RULES.items():
         value = F.expr(re.sub(r"\b(n_\w+|word_chars)", r"m.\1", share))
         rejected = rejected | F.coalesce(value > F.col(f"cut.{rule}"), F.lit(False))
-    failed = (n < 10) | (100 * repeated > 20 * n)
+    failed = base_failed("m.n_words", "m.n_repeat_words")
     joined = rows.join(table, F.col("lang").eqNullSafe(F.col("cut_lang")), "left")
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~rejected).drop("cut_lang", "cut")
