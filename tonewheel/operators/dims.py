@@ -122,14 +122,21 @@ def lowest_pitch(phase, reach) -> Column:
     return first + js_round((F.lit(PIANO_MIDDLE) - col(reach) / F.lit(2.0) - first) / F.lit(12.0)) * 12
 
 
-def board_keys(df: DataFrame, depth: float = BLACK_DEPTH) -> DataFrame:
-    """C4: every key of each row's (white_keys, phase) board once."""
+def board_keys(df: DataFrame, depth: float = BLACK_DEPTH, near: tuple[str, float] | None = None) -> DataFrame:
+    """C4: every key of each row's (white_keys, phase) board once; with `near`, a column and a
+    distance, at least those with an edge that near to it."""
     first = first_pitch("phase")
     # an octave holds seven whites, so the board's last white lies within this many semitones
     reach = F.ceil(F.col("white_keys") * F.lit(12.0) / F.lit(7.0)) + 2
-    keys = df.withColumn("_first", first).withColumn(
-        "_pitch", F.explode(F.sequence(F.col("_first").cast("bigint"), F.col("_first") + reach))
-    )
+    low, high = F.lit(0), reach
+    if near:
+        within = F.lit(near[1])
+        # kept about the board, so that a place at infinity lays out no key
+        x = F.least(F.greatest(F.col(near[0]), -within), F.col("white_keys") + within + 1)
+        low = F.greatest(low, F.floor((x - within) * F.lit(12.0 / 7.0)) - 3)
+        high = F.least(high, F.ceil((x + within) * F.lit(12.0 / 7.0)) + 3)
+    some = F.when(low <= high, F.sequence((F.col("_first") + low).cast("bigint"), (F.col("_first") + high).cast("bigint")))
+    keys = df.withColumn("_first", first).withColumn("_pitch", F.explode(some))
     base = white_index("_first")
     black = is_black("_pitch")
     order = F.when(black, white_index(F.col("_pitch") - 1)).otherwise(white_index("_pitch")) - base
@@ -150,7 +157,20 @@ def board_keys(df: DataFrame, depth: float = BLACK_DEPTH) -> DataFrame:
     )
 
 
-def template_points(df: DataFrame, depth: Column | float = BLACK_DEPTH) -> DataFrame:
+def template_near(df: DataFrame, x: Column, channel: Column, within: float) -> DataFrame:
+    """The rows of `df` with each point (`near_x`, `near_y`) of a channel of their own board less than `within` from `x`.
+
+    Any board will do, and no table of boards is joined: an octave's seven units are its twelve
+    semitones to within two, so only the keys about `x` are laid out for each row.
+    """
+    seen = df.select("white_keys", "phase", F.struct("*").alias("_row"), x.alias("_x"), channel.alias("_kind"))
+    points = template_points(seen, near=("_x", within)).where((F.col("channel") == F.col("_kind")) & (F.abs(F.col("x") - F.col("_x")) < within))
+    return points.select("_row.*", F.col("x").alias("near_x"), F.col("y").alias("near_y"))
+
+
+def template_points(
+    df: DataFrame, depth: Column | float = BLACK_DEPTH, near: tuple[str, float] | None = None
+) -> DataFrame:
     """Each row's board as (channel, ord, x, y) points in white-key units.
 
     `ord` counts from 1 along the channel. Built per key by an array of that key's points; the black
@@ -158,7 +178,7 @@ def template_points(df: DataFrame, depth: Column | float = BLACK_DEPTH) -> DataF
     """
     depth = F.lit(depth) if isinstance(depth, float) else depth
     n = F.col("white_keys").cast("double")
-    keys = board_keys(df)
+    keys = board_keys(df, near=near)
 
     def entry(channel, order, x, y):
         return F.struct(

@@ -353,27 +353,16 @@ def snap_gaps(peaks: DataFrame) -> DataFrame:
     )
 
 
-def black_template(spark) -> DataFrame:
-    """The standard boards' black corners by unit cell of x: some two hundred rows."""
-    t = dims.template_points(dims.boards(spark)).where(F.col("channel").isin(5, 6))
-    return t.select("white_keys", "phase", "channel", F.col("x").alias("tx"), F.floor("x").alias("_cell"))
-
-
 def snap_blacks(peaks: DataFrame, depth=None) -> DataFrame:
-    """E5: black corners on the template corner nearest along x, within the snap.
+    """E5: black corners on the corner of their own board nearest along x, within the snap.
 
-    A corner within the snap lies in the cell of either end of it, so the join is on cells; template
-    corners of a kind are a key apart, so the nearest is the only one that near, ties aside.
+    Corners of a kind are a key apart, so the nearest is the only one that near, ties aside.
     """
     x = estimate("est", "x", "y") + F.col("shift")
-    seen = peaks.where(F.col("channel").isin(5, 6)).withColumn("_x", x)
-    cells = F.array_distinct(F.array(F.floor(F.col("_x") - SNAP_KEYS), F.floor(F.col("_x") + SNAP_KEYS)))
-    met = seen.withColumn("_cell", F.explode(cells)).join(
-        F.broadcast(black_template(peaks.sparkSession)), ["white_keys", "phase", "channel", "_cell"]
-    ).where(F.abs(F.col("tx") - F.col("_x")) < SNAP_KEYS)
+    met = dims.template_near(peaks.where(F.col("channel").isin(5, 6)), x, F.col("channel"), SNAP_KEYS)
     deep = F.lit(dims.BLACK_DEPTH) if depth is None else col(depth)
     return met.select(
-        *CAND, "channel", "ord", F.col("tx").alias("src_x"), deep.alias("src_y"), F.col("x").alias("dst_x"), F.col("y").alias("dst_y")
+        *CAND, "channel", "ord", F.col("near_x").alias("src_x"), deep.alias("src_y"), F.col("x").alias("dst_x"), F.col("y").alias("dst_y")
     )
 
 
