@@ -30,7 +30,8 @@ def match_nearest(
     `labels` carries `key_px`. A label is matched within `match_keys`; otherwise its error is NULL.
     Only peaks inside the match radius can matter, so labels and peaks meet on square cells rather
     than all against all: a label visits the cells its radius touches. Peaks at the same place
-    collapse before the join.
+    collapse before the join. Identical label rows count apart: they are folded to one with their
+    number, which depends on no row order, and unfolded at the end.
     """
     def cell(c):
         return F.floor(col(c) / F.lit(cell_px)).cast("bigint")
@@ -42,10 +43,12 @@ def match_nearest(
     def reach(c):
         return F.sequence(cell(F.col(c) - radius), cell(F.col(c) + radius))
 
-    seekers = labels.withColumn("_cx", F.explode_outer(reach("x"))).withColumn("_cy", F.explode_outer(reach("y")))
+    folded = labels.groupBy(*labels.columns).agg(F.count(F.lit(1)).cast("int").alias("_same"))
+    seekers = folded.withColumn("_cx", F.explode_outer(reach("x"))).withColumn("_cy", F.explode_outer(reach("y")))
     near = seekers.join(spots, ["frame_id", "channel", "_cx", "_cy"], "left")
     keys = div(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")), F.col("key_px"))
-    best = near.groupBy(*labels.columns).agg(F.min(F.when(keys <= match_keys, keys)).alias("error_keys"))
+    best = near.groupBy(*labels.columns, "_same").agg(F.min(F.when(keys <= match_keys, keys)).alias("error_keys"))
+    best = best.withColumn("_same", F.explode(F.sequence(F.lit(1), F.col("_same")))).drop("_same")
     return best.withColumn("matched", F.col("error_keys").isNotNull())
 
 
