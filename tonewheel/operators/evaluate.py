@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonewheel.functions import geometry as G
 from tonewheel.functions.geometry import col, div, point
+from tonewheel.functions.lineage import cut
 from tonewheel.functions.quantiles import quantiles
 from tonewheel.operators import dims
 from tonewheel.operators.detect import local_maxima, neighbours
@@ -409,36 +410,33 @@ def latency_summary(lines: DataFrame, by: list[str]) -> DataFrame:
 def flatten_metrics(scores: DataFrame, value: str = "score", prefix=None) -> DataFrame:
     """every number in a nested score document as (path, value), the path joined with slashes.
 
-    `value` is a VARIANT; objects nest at most four deep in a score document, so four explodes
-    reach every number. Booleans, strings and nulls are not numbers.
+    `value` is a VARIANT, nested as deep as it may be: each level's objects are stored before they are
+    opened, until a level has none. Booleans, strings and nulls are not numbers.
     """
     keep = [c for c in scores.columns if c != value]
     start = F.lit("") if prefix is None else col(prefix)
     level = scores.select(*keep, start.alias("path"), F.col(value).alias("_v"))
-    done = []
-    for _ in range(5):
-        kind = F.schema_of_variant("_v")
-        number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
-        done.append(
-            level.where(number).select(*keep, "path", F.try_variant_get("_v", "$", "double").alias("value"))
-        )
-        level = level.where(kind.startswith("OBJECT"))
-        level = level.lateralJoin(
-            level.sparkSession.tvf.variant_explode(F.col("_v").outer())
+    kind = F.schema_of_variant("_v")
+    number = kind.startswith("BIGINT") | kind.startswith("DECIMAL") | kind.startswith("DOUBLE") | kind.startswith("FLOAT")
+    out = None
+    while True:
+        numbers = level.where(number).select(*keep, "path", F.try_variant_get("_v", "$", "double").alias("value"))
+        out = numbers if out is None else out.unionByName(numbers)
+        objects = cut(level.where(kind.startswith("OBJECT")))
+        if objects.isEmpty():
+            return out
+        level = objects.lateralJoin(
+            objects.sparkSession.tvf.variant_explode(F.col("_v").outer())
         ).select(
             *keep,
             F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws("/", "path", "key")).alias("path"),
             F.col("value").alias("_v"),
         )
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
 
 
 def model_metrics(entries: DataFrame, model: str, prefix: str) -> DataFrame:
     """one model's entries; the text after model and decoder names the view."""
-    rest = F.substring(F.col("entry"), len(model) + 1, 1 << 20)
+    rest = F.expr(f"substring(entry, {len(model) + 1})")
     words = F.ltrim(rest)
     view = F.when(words.rlike(r"^\S+\s+\S"), F.regexp_extract(words, r"^\S+\s+(.*)$", 1)).otherwise("")
     path = F.concat_ws("/", *[F.when(p != "", p) for p in (F.lit(prefix), view)])
