@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewheel.functions.lineage import cut
-from tonewheel.llm import block_names, bpe_automaton, chat, main_text, mix, quality, signature_tree, token_counts, toxicity, warc
+from tonewheel.llm import (block_names, bpe_automaton, chat, main_text, metric_tree, mix, periodic_runs, posting_blocks, quality, signature_tree,
+                           token_counts, toxicity, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.cached_counts(docs, _tokenizer("word_bpe_49k.json"), token_counts.fresh_cache(docs))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_blocks.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +98,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_top_k": op13_top_k,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op4_exact_dedup": block_names.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": block_names.ORACLE,
+    "op11_ranked_search": posting_blocks.ORACLE,
+    "op13_top_k": metric_tree.ORACLE,
+}
