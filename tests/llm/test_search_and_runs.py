@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -11,8 +12,15 @@ from tonewheel.functions.lineage import cut
 from tonewheel.llm import metric_tree, periodic_runs, posting_blocks
 
 
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def found(text):
+    return TERM.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
 def plain_search(docs, items, k):
-    held = [(i, Counter(posting_blocks.terms(t))) for i, t in docs]
+    held = [(i, Counter(found(t))) for i, t in docs]
     held = [(i, c) for i, c in held if c]
     n_docs, n_terms = len(held), sum(sum(c.values()) for _, c in held)
     df = Counter(t for _, c in held for t in c)
@@ -22,7 +30,7 @@ def plain_search(docs, items, k):
         for i, c in held:
             m = 75 + 25 * sum(c.values()) * n_docs // n_terms
             w = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t in c}
-            score = sum(q * w[t] * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t, q in Counter(posting_blocks.terms(text)).items() if t in c)
+            score = sum(q * w[t] * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t, q in Counter(found(text)).items() if t in c)
             if score > 0:
                 scores.append((-score, i is None, i))
         out += [(item, rank + 1, i, -s) for rank, (s, _, i) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
@@ -33,7 +41,7 @@ def plain_search(docs, items, k):
 def corpus():
     draw = random.Random(5)
     vocabulary = [f"t{i}" for i in range(150)] + ["ÉTÉ", "日本", "x9"]
-    docs = [(1, None), (2, ""), (3, ".,! \n"), (None, "t1 t2 T3"), (4, "t1 t2 T3"), (4, "t1 t2 T3"), (5, "t1-t1_t1"), (2**60 + 7, "日本 été ÉTÉ"), (7, "ab" * 50_000)]
+    docs = [(1, None), (2, ""), (3, ".,! \n"), (8, "Ａ\u00a0İ_ß{|}~\x7f`@[É9"), (9, "".join(map(chr, range(0x180)))), (None, "t1 t2 T3"), (4, "t1 t2 T3"), (4, "t1 t2 T3"), (5, "t1-t1_t1"), (2**60 + 7, "日本 été ÉTÉ"), (7, "ab" * 50_000)]
     for i in range(500):
         topic = draw.randrange(10) * 15
         words = [draw.choice(vocabulary[topic : topic + 15] if draw.random() < 0.6 else vocabulary) for _ in range(draw.randrange(1, 60))]

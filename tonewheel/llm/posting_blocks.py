@@ -8,29 +8,29 @@ scored first, which gives each query a score that its k-th best result reaches;
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.functions.lineage import cut
 
-TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: In UTF-8: letters A-Z become small, every other byte outside terms becomes a space. Bytes of characters beyond ASCII are terms.
+PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 #: A bit for each bucket of term hashes: what the queries need of a text, in a fixed size.
 BUCKETS = 1 << 20
-CHUNK = 2048
+CHUNK = 1024
 BLOCK = 64
 #: Queries searched together over one chunk.
 TOGETHER = 512
 #: Cells of the table of documents by terms that a task fills at once.
-CELLS = 1 << 24
+CELLS = 1 << 23
 WORDS_KEPT = 200_000
 
 
@@ -41,8 +41,8 @@ class _Hashes(dict):
         super().__init__()
         self.wanted = wanted
 
-    def __missing__(self, term: str) -> int:
-        value = xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
+    def __missing__(self, term: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(term)
         value -= 1 << 64 if value >> 63 else 0
         if self.wanted is not None and not self.wanted[value % BUCKETS]:
             value = 0
@@ -53,8 +53,8 @@ class _Hashes(dict):
         return value
 
 
-def terms(text: str | None) -> list[str]:
-    return TERM.findall(text.translate(LOWER)) if text else []
+def terms(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
 
 
 def counted(rows: DataFrame, id_col: str, wanted: np.ndarray | None) -> DataFrame:
@@ -64,27 +64,28 @@ def counted(rows: DataFrame, id_col: str, wanted: np.ndarray | None) -> DataFram
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Hashes(wanted)
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = terms(text)
-                found = {h: c for w, c in Counter(words).items() if (h := known[w])}
-                h = np.fromiter(found, np.int64, len(found))
-                c = np.fromiter(found.values(), np.int64, len(found))
-                out.append((len(words), h, c, similar(h, c)))
-            ids = [None if i is None else int(i) for i in batch["id"]]
-            frame = pd.DataFrame(out, columns=["n", "terms", "counts", "signature"])
-            frame.insert(0, "id", pd.array(ids, dtype="Int64"))
-            yield frame
+            for start in range(0, len(batch), 1000):
+                part, out = batch.iloc[start : start + 1000], []
+                for text in part["text"]:
+                    words = terms(text)
+                    found = {h: c for w, c in Counter(words).items() if (h := known[w])}
+                    h = np.fromiter(found, np.int64, len(found))
+                    c = np.fromiter(found.values(), np.int32, len(found))
+                    out.append((len(words), h, c, similar(h, c)))
+                ids = [None if i is None else int(i) for i in part["id"]]
+                frame = pd.DataFrame(out, columns=["n", "terms", "counts", "signature"])
+                frame.insert(0, "id", pd.array(ids, dtype="Int64"))
+                yield frame
 
     # ids as text, since pandas holds a column of numbers and nulls as doubles
     shown = rows.select(F.col(id_col).cast("string").alias("id"), "text")
-    return shown.mapInPandas(count, "id long, n long, terms array<long>, counts array<long>, signature long")
+    return shown.mapInPandas(count, "id long, n long, terms array<long>, counts array<int>, signature long")
 
 
 def similar(h: np.ndarray, counts: np.ndarray) -> int:
     """64 signs of a sum over terms, each adding or taking its count at every bit of its hash."""
     bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1).astype(np.int64)
-    signs = (counts[:, None] * (2 * bits - 1)).sum(axis=0) > 0
+    signs = (counts[:, None].astype(np.int64) * (2 * bits - 1)).sum(axis=0) > 0
     return int(np.packbits(signs).view(">i8")[0])
 
 
@@ -96,8 +97,8 @@ def _all(lists: list, dtype) -> bytes:
     return np.concatenate([np.asarray(x, dtype=dtype).ravel() for x in lists] or [np.empty(0, dtype)]).astype(dtype).tobytes()
 
 
-def _parts(values: bytes, ends: bytes, dtype) -> list[np.ndarray]:
-    return np.split(np.frombuffer(values, dtype), np.frombuffer(ends, np.int64)[:-1]) if ends else []
+def _parts(values, ends, dtype) -> list[np.ndarray]:
+    return np.split(np.frombuffer(values, dtype), np.frombuffer(ends, np.int64)[:-1])
 
 
 def chunks(docs: DataFrame, total: int, length: int, chunk: int) -> DataFrame:
@@ -108,7 +109,7 @@ def chunks(docs: DataFrame, total: int, length: int, chunk: int) -> DataFrame:
             ids = [None if i is None else int(i) for i in held["id"]]
             norms = 75 + 25 * held["n"].to_numpy(np.int64) * total // length
             return pd.DataFrame([(np.array([i or 0 for i in ids], np.int64).tobytes(), np.array([i is not None for i in ids]).tobytes(),
-                                  norms.tobytes(), _all(list(held["terms"]), np.int64), _all(list(held["counts"]), np.int64),
+                                  norms.tobytes(), _all(list(held["terms"]), np.int64), _all(list(held["counts"]), np.int32),
                                   _ends(list(held["terms"])))], columns=["ids", "known", "norms", "terms", "counts", "ends"])
 
         held = None
@@ -127,41 +128,55 @@ def chunks(docs: DataFrame, total: int, length: int, chunk: int) -> DataFrame:
 
 
 class Queries:
-    """A block of queries: for each its number, its terms as columns of `vocabulary` and what an impact of 1 in each adds."""
+    """A block of queries: for each its number, its terms as columns of a table and what an impact of 1 in each adds. Columns are numbered
+    as queries first name their terms, so that those of one query lie together."""
 
     def __init__(self, items: bytes, item_ends: bytes, item_terms: bytes, item_weights: bytes):
         self.items = np.frombuffer(items, np.int64)
-        self.vocabulary = np.unique(np.frombuffer(item_terms, np.int64))
-        self.columns = [np.searchsorted(self.vocabulary, t) for t in _parts(item_terms, item_ends, np.int64)]
-        self.weights = _parts(item_weights, item_ends, np.int64)
+        self.hashes, first = np.unique(np.frombuffer(item_terms, np.int64), return_index=True)
+        self.width = len(self.hashes)
+        self.column_of = np.argsort(np.argsort(first))
+        # each query's columns in rising order, its weights with them
+        self.columns = [self.columns_of(t)[1] for t in _parts(item_terms, item_ends, np.int64)]
+        self.weights = [w[np.argsort(c)] for c, w in zip(self.columns, _parts(item_weights, item_ends, np.int64))]
+        self.columns = [np.sort(c) for c in self.columns]
         self.holders = defaultdict(list)
         for i, columns in enumerate(self.columns):
             for c in columns.tolist():
                 self.holders[c].append(i)
+        # terms that share a query with a term, itself included
         self.beside = {c: np.unique(np.concatenate([self.columns[i] for i in own])) for c, own in self.holders.items()}
 
+    def columns_of(self, terms_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are terms of the queries, and the columns of these."""
+        place = np.minimum(np.searchsorted(self.hashes, terms_), self.width - 1)
+        mine = self.hashes[place] == terms_
+        return mine, self.column_of[place[mine]]
+
 
 def blocked(table: np.ndarray, queries: Queries, size: int) -> tuple:
     """Posting lists of a table of documents by terms, as blocks of about `size` documents: the term, the documents and the maxima of each block."""
     of, members, maxima = [], [], []
+    columns, postings = np.nonzero(table.T)
+    ends = np.searchsorted(columns, np.arange(queries.width + 1))
     for c, beside in queries.beside.items():
-        rows = np.flatnonzero(table[:, c])
+        rows = postings[ends[c] : ends[c + 1]]
         if not len(rows):
             continue
-        part = table[np.ix_(rows, beside)]
-        count = -(-len(rows) // size)
-        owner = np.zeros(len(rows), np.int64)
-        if count > 1:
-            centers = part[:: -(-len(rows) // count)].astype(np.float32)
-            centers /= np.linalg.norm(centers, axis=1, keepdims=True)
-            owner = (part.astype(np.float32) @ centers.T).argmax(axis=1)
+        part = table.take(rows[:, None] * queries.width + beside)
+        if len(rows) <= size:
+            of.append(c)
+            members.append(rows)
+            maxima.append(part.max(axis=0))
+            continue
+        centers = part[::size].astype(np.float32)
+        centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+        owner = (part.astype(np.float32) @ centers.T).argmax(axis=1)
         order = np.argsort(owner, kind="stable")
         starts = np.flatnonzero(np.diff(owner[order], prepend=-1))
-        tops = np.maximum.reduceat(part[order], starts, axis=0)
-        for s, e, top in zip(starts, [*starts[1:], len(rows)], tops):
-            of.append(c)
-            members.append(rows[order[s:e]])
-            maxima.append(top)
+        of += [c] * len(starts)
+        members += np.split(rows[order], starts[1:])
+        maxima += list(np.maximum.reduceat(part[order], starts, axis=0))
     return np.array(of, np.int64), members, maxima
 
 
@@ -170,7 +185,7 @@ def bounds(queries: Queries, of: np.ndarray, maxima: list[np.ndarray]) -> dict[i
     out = defaultdict(list)
     order = np.argsort(of, kind="stable")
     of = of[order]
-    at = np.searchsorted(of, np.arange(len(queries.vocabulary) + 1))
+    at = np.searchsorted(of, np.arange(queries.width + 1))
     for c, own in queries.holders.items():
         mine = order[at[c] : at[c + 1]]
         if not len(mine):
@@ -186,85 +201,111 @@ def best_of(table: np.ndarray, rows: np.ndarray, queries: Queries, i: int) -> np
     return table[np.ix_(rows, queries.columns[i])].astype(np.int64) @ queries.weights[i]
 
 
+#: Schema of the stored index, for Spark and for its tasks.
 INDEX = ("block int, ids binary, known binary, places binary, columns binary, impacts binary, of binary, members binary, "
          "member_ends binary, maxima binary, maxima_ends binary, hits array<struct<item: long, score: long>>")
+ARROW_INDEX = pa.schema([("block", pa.int32()), *[(c.split()[0], pa.binary()) for c in INDEX.split(", ")[1:11]],
+                         ("hits", pa.list_(pa.struct([("item", pa.int64()), ("score", pa.int64())])))])
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, numbers as they are and binary values as buffers into the batch."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_buffer() if pa.types.is_binary(column.type) else column[i].as_py()
+               for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _queries(row: dict) -> Queries:
+    return Queries(*(row[c] for c in ("items", "item_ends", "item_terms", "item_weights")))
 
 
 def index(packed: DataFrame, asked: DataFrame, blocks: int, k: int, size: int) -> DataFrame:
     """The posting blocks of every chunk for every block of queries, and `hits`: the k best scores each query finds in its blocks of
     highest bound."""
+    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, number = None, None
         for batch in batches:
-            for r in batch.itertuples():
-                if r.block != number:
-                    queries, number = Queries(r.items, r.item_ends, r.item_terms, r.item_weights), r.block
-                width = len(queries.vocabulary)
-                step = max(1, CELLS // width)
-                terms_, ends = np.frombuffer(r.terms, np.int64), np.frombuffer(r.ends, np.int64)
-                counts, norms = np.frombuffer(r.counts, np.int64), np.frombuffer(r.norms, np.int64)
-                owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-                place = np.minimum(np.searchsorted(queries.vocabulary, terms_), width - 1)
-                mine = queries.vocabulary[place] == terms_
-                owner, place, tf = owner[mine], place[mine], counts[mine]
-                impact = 1_000_000_000 * tf // (1000 * tf + 12 * norms[owner])
-                ids, known = np.frombuffer(r.ids, np.int64), np.frombuffer(r.known, bool)
-                for start in range(0, len(ids), step):
-                    s = slice(*np.searchsorted(owner, [start, start + step]))
-                    n = min(step, len(ids) - start)
-                    table = np.zeros((n, width), np.int32)
-                    table[owner[s] - start, place[s]] = impact[s]
-                    of, members, maxima = blocked(table, queries, size)
-                    hits = []
-                    for i, found in bounds(queries, of, maxima).items():
-                        rows = np.empty(0, np.int64)
-                        for _, b in sorted(found, reverse=True):
-                            rows = np.union1d(rows, members[b])
-                            if len(rows) >= k:
-                                break
-                        scores = np.sort(best_of(table, rows, queries, i))[::-1][:k]
-                        hits += [{"item": int(queries.items[i]), "score": int(x)} for x in scores if x > 0]
-                    yield pd.DataFrame([(number, ids[start : start + n].tobytes(), known[start : start + n].tobytes(), (owner[s] - start).tobytes(),
-                                         place[s].tobytes(), impact[s].astype(np.int32).tobytes(), of.tobytes(), _all(members, np.int32), _ends(members),
-                                         _all(maxima, np.int32), _ends(maxima), hits)], columns=[c.split()[0] for c in INDEX.split(", ")[:12]])
-
-    pairs = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
-    return pairs.mapInPandas(build, INDEX)
+            for r in _read(batch):
+                if r["block"] != number:
+                    queries, number = _queries(r), r["block"]
+                for row in _indexed(r, queries, k, size):
+                    yield pa.RecordBatch.from_pylist([row], schema=ARROW_INDEX)
+
+    return pairs.mapInArrow(build, INDEX)
+
+
+def _indexed(r: dict, queries: Queries, k: int, size: int) -> Iterator[dict]:
+    width = queries.width
+    step = max(1, CELLS // width)
+    terms_, ends = np.frombuffer(r["terms"], np.int64), np.frombuffer(r["ends"], np.int64)
+    counts, norms = np.frombuffer(r["counts"], np.int32), np.frombuffer(r["norms"], np.int64)
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    mine, place = queries.columns_of(terms_)
+    owner, tf = owner[mine], counts[mine].astype(np.int64)
+    impact = 1_000_000_000 * tf // (1000 * tf + 12 * norms[owner])
+    ids, known = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], bool)
+    for start in range(0, len(ids), step):
+        s = slice(*np.searchsorted(owner, [start, start + step]))
+        n = min(step, len(ids) - start)
+        table = np.zeros((n, width), np.int32)
+        table[owner[s] - start, place[s]] = impact[s]
+        of, members, maxima = blocked(table, queries, size)
+        hits = []
+        for i, found in bounds(queries, of, maxima).items():
+            rows = np.empty(0, np.int64)
+            for _, b in sorted(found, reverse=True):
+                rows = np.union1d(rows, members[b])
+                if len(rows) >= k:
+                    break
+            scores = np.sort(best_of(table, rows, queries, i))[::-1][:k]
+            hits += [{"item": int(queries.items[i]), "score": int(x)} for x in scores if x > 0]
+        yield {
+            "block": r["block"], "ids": ids[start : start + n].tobytes(), "known": known[start : start + n].tobytes(),
+            "places": (owner[s] - start).astype(np.int32).tobytes(), "columns": place[s].astype(np.int32).tobytes(),
+            "impacts": impact[s].astype(np.int32).tobytes(), "of": of.tobytes(), "members": _all(members, np.int32), "member_ends": _ends(members),
+            "maxima": _all(maxima, np.int32), "maxima_ends": _ends(maxima), "hits": hits,
+        }
 
 
 def scan(stored: DataFrame, asked: DataFrame, thresholds: DataFrame, k: int) -> DataFrame:
     """item, id, score: the k best of each chunk for each query. A document is scored unless one of its blocks stays below the
     query's threshold."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, number = None, None
         for batch in batches:
-            for r in batch.itertuples():
-                if r.block != number:
-                    queries, number = Queries(r.items, r.item_ends, r.item_terms, r.item_weights), r.block
-                least = {} if r.least is None else {int(x["item"]): int(x["score"]) for x in r.least}
-                ids, known = np.frombuffer(r.ids, np.int64), np.frombuffer(r.known, bool)
-                table = np.zeros((len(ids), len(queries.vocabulary)), np.int32)
-                table[np.frombuffer(r.places, np.int64), np.frombuffer(r.columns, np.int64)] = np.frombuffer(r.impacts, np.int32)
-                members, maxima = _parts(r.members, r.member_ends, np.int32), _parts(r.maxima, r.maxima_ends, np.int32)
-                out = []
-                for i, found in bounds(queries, np.frombuffer(r.of, np.int64), maxima).items():
-                    item = int(queries.items[i])
-                    floor = max(least.get(item, 1), 1)
-                    passed, failed = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-                    for reach, b in found:
-                        (passed if reach >= floor else failed)[members[b]] = True
-                    rows = np.flatnonzero(passed & ~failed)
-                    scores = best_of(table, rows, queries, i)
-                    rows, scores = rows[scores >= floor], scores[scores >= floor]
-                    first = np.lexsort((ids[rows], ~known[rows], -scores))[:k]
-                    out += [(item, int(ids[d]) if known[d] else None, int(s)) for d, s in zip(rows[first], scores[first])]
-                if out:
-                    item, found_ids, scores = zip(*out)
-                    yield pd.DataFrame({"item": item, "id": pd.array(found_ids, dtype="Int64"), "score": scores})
-
-    return stored.drop("hits").join(asked, "block").join(thresholds, "block", "left").mapInPandas(run, "item long, id long, score long")
+            for r in _read(batch):
+                if r["block"] != number:
+                    queries, number = _queries(r), r["block"]
+                found = _scanned(r, queries, k)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["item", "id", "score"])
+
+    met = stored.drop("hits").join(asked, "block").join(thresholds, "block", "left")
+    return met.mapInArrow(run, "item long, id long, score long")
+
+
+def _scanned(r: dict, queries: Queries, k: int) -> list[tuple]:
+    least = {x["item"]: x["score"] for x in r["least"] or []}
+    ids, known = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], bool)
+    table = np.zeros((len(ids), queries.width), np.int32)
+    table[np.frombuffer(r["places"], np.int32), np.frombuffer(r["columns"], np.int32)] = np.frombuffer(r["impacts"], np.int32)
+    members, maxima = _parts(r["members"], r["member_ends"], np.int32), _parts(r["maxima"], r["maxima_ends"], np.int32)
+    out = []
+    for i, found in bounds(queries, np.frombuffer(r["of"], np.int64), maxima).items():
+        item = int(queries.items[i])
+        floor = max(least.get(item, 1), 1)
+        passed, failed = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        for reach, b in found:
+            (passed if reach >= floor else failed)[members[b]] = True
+        rows = np.flatnonzero(passed & ~failed)
+        scores = best_of(table, rows, queries, i)
+        rows, scores = rows[scores >= floor], scores[scores >= floor]
+        first = np.lexsort((ids[rows], ~known[rows], -scores))[:k]
+        out += [(item, int(ids[d]) if known[d] else None, int(s)) for d, s in zip(rows[first], scores[first])]
+    return out
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 20, chunk: int = CHUNK, size: int = BLOCK, together: int = TOGETHER) -> DataFrame:
