@@ -163,7 +163,7 @@ def blocked(table: np.ndarray, queries: Queries, size: int) -> tuple:
         rows = postings[ends[c] : ends[c + 1]]
         if not len(rows):
             continue
-        part = table.take(rows[:, None] * queries.width + beside)
+        part = table.take(rows[:, None] * table.shape[1] + beside)
         if len(rows) <= size:
             of.append(c)
             members.append(rows)
