@@ -34,13 +34,32 @@ def test_counting_numbers_the_planted_gaps(spark, sf):
 def test_a_large_pool_votes_like_a_small_one(spark, sf, monkeypatch):
     pool = fit.build_pool(fitting.prior_peaks(spark, sf).where("frame_id < 12"))
     small = {r["frame_id"]: (r["votes"], r["homography"]) for r in fit.vote(pool).collect()}
-    monkeypatch.setattr(fit, "PACK", 16)
+    monkeypatch.setattr(fit, "PART", 16)
     large = {r["frame_id"]: (r["votes"], r["homography"]) for r in fit.vote(pool).collect()}
     assert small.keys() == large.keys() and len(small) == 12
     for k in small:
         assert small[k][0] == large[k][0] and np.allclose(small[k][1], large[k][1])
 
 
+def test_a_noiseless_board_gets_all_its_votes(spark):
+    """A planted board among outliers: every true correspondence agrees, and the homography is the planted one."""
+    board = np.array([[(0, 0), (52, 0), (52, 1), (0, 1)]], dtype=float)
+    h = homographies(board, np.array([[(0.1, 0.3), (0.85, 0.2), (0.95, 0.6), (0.02, 0.55)]]))[0]
+    true = [(float(x), y) for x in range(53) for y in (0.0, 1.0)]
+    w = [h[6] * x + h[7] * y + 1 for x, y in true]
+    rows = [(x, y, (h[0] * x + h[1] * y + h[2]) / k, (h[3] * x + h[4] * y + h[5]) / k) for (x, y), k in zip(true, w)]
+    draw = np.random.default_rng(5)
+    rows += [(float(draw.integers(53)), float(draw.integers(2)), *(3.0 + draw.random(2)).tolist()) for _ in range(40)]
+    draw.shuffle(rows)
+    line = [(float(i), 0.0, i / 60.0, 0.5) for i in range(20)]
+    pool = [(1, 0, i, *map(float, r)) for i, r in enumerate(rows)] + [(2, 0, i, *r) for i, r in enumerate(line)] + [(3, 0, 0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(pool, "frame_id bigint, cand int, pos bigint, src_x double, src_y double, dst_x double, dst_y double")
+    got = {r["frame_id"]: r for r in fit.vote(df).collect()}
+    # a pool on one line has no sound sample, one under four rows no sample at all
+    assert got.keys() == {1} and got[1]["votes"] == len(true) and np.allclose(got[1]["homography"], h, atol=1e-9)
+    assert np.allclose(fit.refine_votes(df, fit.vote(df)).first()["homography"], h, atol=1e-6)
+
+
 def test_fitting_finds_the_planted_homography(spark, sf):
     fits = fit.fit_frames(fitting.peaks(spark, sf), fitting.corner_plan(spark, sf))
     t = fitting.truth(spark, sf)

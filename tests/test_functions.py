@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tonewheel.functions import picks
-from tonewheel.functions.quantiles import quantiles
+from tonewheel.functions.quantiles import bucket_of, counts, quantiles, quantiles_of_few
 from tonewheel.functions.scans import Running, running
 from tonewheel.operators import sessions
 
@@ -58,6 +58,41 @@ def test_quantile_rules(spark):
         assert row["u"] == s[n // 2]
 
 
+def _sorted_at(values, q, rule):
+    s = sorted(v for v in values if v is not None and not math.isnan(v))
+    at = {"lower": math.floor(q * (len(s) - 1)), "upper": len(s) // 2, "rank": max(math.ceil(len(s) * q), 1) - 1}
+    return s[at[rule]]
+
+
+def test_quantiles_of_hard_values(spark):
+    rng = random.Random(6)
+    wide = [m * 10.0**e for e in range(-300, 301, 7) for m in (1.0, -1.0, 1.0 + 2**-52)]
+    groups = {
+        "wide": wide + [math.inf, -math.inf, 0.0, -0.0, 1.7e308, -1.7e308], "nan": [math.nan, None, 1.0, math.nan, 2.0, 3.0], "none": [math.nan, None],
+        "same": [0.1] * 500, "near": [1.0 + i * 2.0**-52 for i in rng.choices(range(3000), k=2000)], "two": [5e-324, 0.0, 1e-320],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double")
+    rules = {"l": (0.95, "lower"), "u": (0.5, "upper"), "r": (0.1, "rank")}
+    want = {g: tuple(_sorted_at(vs, q, rule) for q, rule in rules.values()) for g, vs in groups.items() if g != "none"}
+    assert {r["g"]: (r["l"], r["u"], r["r"]) for r in quantiles(df, "v", rules, ["g"]).collect()} == want
+    assert {r["g"]: (r["l"], r["u"], r["r"]) for r in quantiles_of_few(df, "v", rules, ["g"]).collect()} == want
+    assert quantiles(df.limit(0), "v", rules, []).count() == 0
+
+
+def test_a_million_values_in_one_bucket(spark):
+    df = spark.range(1_000_000).select((F.lit(1e9) + F.xxhash64("id") % 1_000_003 / 2**24).alias("v"))
+    got = quantiles(df, "v", {"m": (0.5, "lower"), "p": (0.999, "rank")}, [], stored=True).first()
+    want = np.sort(df.toPandas()["v"].to_numpy())
+    assert (got["m"], got["p"]) == (want[499_999], want[998_999])
+
+
+def test_rounds_move_counts_not_values(spark):
+    values = spark.range(1000).select(F.rand(1).alias("_v"), (F.col("id") % 3).alias("g"))
+    plan = counts(values, ["g"], bucket_of(F.col("_v")))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == 1 and "_bucket" in moved[0] and "_v#" not in moved[0] and "partial_count" in plan
+
+
 def test_average_chained_over_chunks(spark):
     rng = random.Random(9)
     values = [rng.uniform(-1, 1) for _ in range(900)]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.functions.geometry import col, div
+from tonewheel.functions.lineage import cut
 from tonewheel.functions.quantiles import quantiles
 from tonewheel.functions.scans import numbered
 from tonewheel.operators.ingest import in_clips
@@ -33,8 +34,8 @@ def split(frames: DataFrame, fraction: float = VAL_FRACTION, seed: int = 0) -> D
     The frames with the smallest seeded numbers are held. The number that parts them is found by
     selection, not by sorting all frames; frames sharing it are settled by stem.
     """
-    marked = frames.withColumn("_h", seeded(seed, "stem"))
-    cutoff = quantiles(marked, "_h", {"_cut": (fraction, "share")}, [])
+    marked = cut(frames.withColumn("_h", seeded(seed, "stem")))
+    cutoff = quantiles(marked, "_h", {"_cut": (fraction, "share")}, [], stored=True)
     sizes = marked.agg(F.count(F.lit(1)).alias("_n"))
     bound = sizes.join(cutoff, F.lit(True)).select(
         F.when(F.col("_n") > 1, F.greatest(F.lit(1.0), F.rint(F.col("_n") * F.lit(fraction)))).otherwise(0.0).alias("_want"), "_cut"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tonewheel.functions import geometry as G
 from tonewheel.functions.geometry import col, div, point
 from tonewheel.functions.lineage import cut
-from tonewheel.functions.quantiles import quantiles
+from tonewheel.functions.quantiles import quantiles, quantiles_of_few
 from tonewheel.operators import dims
 from tonewheel.operators.detect import local_maxima, neighbours
 
@@ -65,7 +65,8 @@ def group_scores(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
     Errors are NULL, not NaN, where nothing matched.
     """
     keys = [*(by or []), "grp"]
-    grouped = matches.withColumn("grp", dims.group_of("channel"))
+    # the matches are read again by every round of the medians
+    grouped = cut(matches.select(*(by or []), dims.group_of("channel").alias("grp"), "error_keys"))
     e = F.col("error_keys")
     n, m = F.count(F.lit(1)), F.count(e)
     sums = grouped.groupBy(*keys).agg(
@@ -79,7 +80,7 @@ def group_scores(matches: DataFrame, by: list[str] | None = None) -> DataFrame:
             for k in PCK_KEYS
         ],
     )
-    medians = quantiles(grouped, "error_keys", {"median_keys": (0.5, "interp")}, keys)
+    medians = quantiles(grouped, "error_keys", {"median_keys": (0.5, "interp")}, keys, stored=True)
     return sums.join(medians, keys, "left")
 
 
@@ -258,7 +259,7 @@ def check_fit(fits: DataFrame, labels: DataFrame, frames: DataFrame, blacks: Dat
     """
     part = F.when(F.col("channel") == 4, "gap").when(F.col("channel") >= 5, "black").otherwise("corner")
     errors = fit_errors(fits, labels).withColumn("part", part)
-    medians = quantiles(errors, "error_keys", {"median": (0.5, "upper")}, ["frame_id", "part", "shift"])
+    medians = quantiles_of_few(errors, "error_keys", {"median": (0.5, "upper")}, ["frame_id", "part", "shift"])
     m, gap = F.col("median"), F.col("part") == "gap"
     per_frame = medians.groupBy("frame_id").agg(
         F.min(F.when(gap, F.struct(m, F.col("shift"))))["shift"].alias("best_shift"),

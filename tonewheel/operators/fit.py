@@ -14,7 +14,7 @@ from tonewheel.functions import geometry as G
 from tonewheel.functions import picks as P
 from tonewheel.functions.geometry import at, col, div, js_round, point
 from tonewheel.functions.lineage import cut, spread
-from tonewheel.functions.quantiles import quantiles
+from tonewheel.functions.quantiles import quantiles_of_few
 from tonewheel.functions.scans import Running, numbered, running
 from tonewheel.functions.walk import walk
 from tonewheel.operators import dims
@@ -28,7 +28,8 @@ VOTE_KEYS, INLIER_SHARE, ERROR_KEYS, LEAST_SINE = 0.25, 0.6, 0.15, 1e-6
 SPACING_DEPTH, SPACING_LEAST, SPACING_MOST, SPACING_STEPS, SPACING_SLACK = 0.3, 0.4, 1.5, 6, 0.08
 BEYOND_SLACK, BEYOND_ROW, BEYOND_ALLOWED = 0.5, 0.15, 2
 END_SLACK_KEYS = 1.25
-PACK = 512
+#: Rows of one pool that are counted in one place.
+PART = 1 << 16
 
 XY = ["src_x", "src_y", "dst_x", "dst_y"]
 CAND = ["frame_id", "cand"]
@@ -401,68 +402,49 @@ def inlier(h="homography") -> Column:
 def vote(pool: DataFrame) -> DataFrame:
     """Per candidate the sample homography most of its pool agrees with, the earliest on ties.
 
-    Pools of up to PACK rows, as every real frame's, travel as one array and are sampled, solved and
-    counted in a batch. A larger pool never gathers: its samples are joined out of it row by row, its
-    rows are packed PACK at a time, and the counts of the packs are added up.
+    A pool's rows stream past its samples: the rows that any sample takes, at most four a sample, come first and give the homographies,
+    then every row adds to an array of counts, one for each. Rows beyond PART of one pool go to further parts, each of which sees all samples, and the counts
+    of the parts are added up. Which rows are sampled depends on the pool's length alone, so that is a small table of its own.
     """
     sizes = pool.groupBy(*CAND).agg(F.count(F.lit(1)).alias("pool_len")).where(F.col("pool_len") >= P.SAMPLE)
-    sized = pool.join(sizes, CAND)
-    row = F.struct("pos", *XY)
-    packs = sized.groupBy(*CAND, "pool_len", F.floor(F.col("pos") / PACK).alias("_pack")).agg(F.sort_array(F.collect_list(row)).alias("_r"))
-    packs = packs.select(*CAND, "pool_len", "_pack", *[F.col(f"_r.{c}").alias(c) for c in XY])
-    schema = "frame_id bigint, cand int, votes bigint, homography array<double>"
-
-    def small(batches):
-        import numpy as np
-        import pandas as pd
-
-        from tonewheel.operators.solve import sample_votes
-
-        stream, cache = P.draws(P.ITERATIONS * P.GUARD), {}
-        for pdf in batches:
-            out = []
-            for f, c, n, *xy in zip(*[pdf[c] for c in (*CAND, "pool_len", *XY)]):
-                if n not in cache:
-                    cache[n] = np.array([p for _, _, p in P.sample_rows(int(n), stream)]).reshape(-1, P.SAMPLE)
-                pts = np.stack(xy, axis=1)
-                h, votes = sample_votes(pts, pts[cache[n]])
-                if votes.size and votes.max() >= 0:
-                    best = int(votes.argmax())
-                    out.append((f, c, int(votes[best]), h[best].tolist()))
-            yield pd.DataFrame(out, columns=["frame_id", "cand", "votes", "homography"])
-
-    fits = spread(packs.where(F.col("pool_len") <= PACK).drop("_pack"), *CAND).mapInPandas(small, schema)
-    return fits.unionByName(_vote_large(sized.where(F.col("pool_len") > PACK), packs.where(F.col("pool_len") > PACK)))
-
-
-def _vote_large(sized: DataFrame, packs: DataFrame) -> DataFrame:
-    samples = (
-        sized.select(*CAND, "pool_len").distinct()
-        .join(P.sample_picks(sized), "pool_len")
-        .join(sized.drop("pool_len"), [*CAND, "pos"])
-        .select(*CAND, (F.col("iter") * P.SAMPLE + F.col("k")).alias("slot"), *[F.col(c).alias(f"s_{c}") for c in XY])
-    )
-    # at most two hundred samples of four
-    every = samples.groupBy(*CAND).agg(F.sort_array(F.collect_list(F.struct("slot", *[f"s_{c}" for c in XY]))).alias("_s"))
-    every = every.select(*CAND, F.col("_s.slot").alias("slot"), *[F.col(f"_s.s_{c}").alias(f"s_{c}") for c in XY])
+    slot = (F.col("iter") * P.SAMPLE + F.col("k")).cast("int")
+    slots = P.sample_picks(sizes).groupBy("pool_len", "pos").agg(F.collect_list(slot).alias("slots"))
+    marked = pool.join(sizes, CAND).join(slots, ["pool_len", "pos"], "left").withColumn("_own", F.floor(F.col("pos") / PART))
+    every = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("pool_len") - 1) / PART))
+    parts = F.when(F.col("slots").isNotNull(), every).otherwise(F.array("_own"))
+    dealt = marked.select(*CAND, "pool_len", "slots", "pos", *XY, "_own", F.explode(parts).alias("_part"))
+    key = [*CAND, "_part"]
+    dealt = spread(dealt, *key).sortWithinPartitions(*key, F.col("slots").isNull(), "pos")
 
     def count(batches):
-        import numpy as np
         import pandas as pd
 
-        from tonewheel.operators.solve import sample_votes
+        from tonewheel.operators.solve import Ballot
+
+        def told(key, ballot):
+            whole = ballot.pool_len <= PART
+            return [(key[0], key[1], i, v, h.tolist()) for i, v, h in ballot.result(best_only=whole)]
 
+        now, ballot, out = None, None, []
         for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                points = np.stack([r[c] for c in XY], axis=1)
-                four = np.stack([r[f"s_{c}"] for c in XY], axis=1).reshape(-1, P.SAMPLE, 4)
-                iters = np.asarray(r["slot"])[:: P.SAMPLE] // P.SAMPLE
-                h, votes = sample_votes(points, four)
-                out.extend((r["frame_id"], r["cand"], int(i), int(v), g.tolist()) for i, v, g in zip(iters, votes, h) if v >= 0)
-            yield pd.DataFrame(out, columns=["frame_id", "cand", "iter", "votes", "h"])
-
-    counts = packs.select(*CAND, *XY).join(every, CAND).mapInPandas(count, "frame_id bigint, cand int, iter int, votes bigint, h array<double>")
+            ids = pdf[key].to_numpy()
+            edges = [0, *((ids[1:] != ids[:-1]).any(axis=1).nonzero()[0] + 1), len(ids)] if len(ids) else [0]
+            points, own, sampled = pdf[XY].to_numpy(), (pdf["_own"] == pdf["_part"]).to_numpy(), pdf["slots"].to_numpy()
+            lengths = pdf["pool_len"].to_numpy()
+            for a, b in zip(edges, edges[1:]):
+                mine = tuple(ids[a].tolist())
+                if mine != now:
+                    if ballot is not None:
+                        out += told(now, ballot)
+                    now, ballot = mine, Ballot(int(lengths[a]), P.ITERATIONS)
+                ballot.add(points[a:b], sampled[a:b], own[a:b])
+            if out:
+                yield pd.DataFrame(out, columns=["frame_id", "cand", "iter", "votes", "h"])
+                out = []
+        if ballot is not None:
+            yield pd.DataFrame(told(now, ballot), columns=["frame_id", "cand", "iter", "votes", "h"])
+
+    counts = dealt.mapInPandas(count, "frame_id bigint, cand int, iter int, votes bigint, h array<double>")
     totals = counts.groupBy(*CAND, "iter").agg(F.sum("votes").alias("votes"), F.first("h").alias("homography"))
     return totals.groupBy(*CAND).agg(
         F.min_by(F.struct("votes", "homography"), F.struct(-F.col("votes"), F.col("iter"))).alias("b")
@@ -492,7 +474,7 @@ def accept_fits(pool: DataFrame, fits: DataFrame) -> DataFrame:
     error = F.hypot((px - F.col("dst_x")) * F.col("width"), (py - F.col("dst_y")) * F.col("height"))
     judged = met.select(*CAND, "_in", F.when(F.col("_in"), error).alias("_error"))
     counts = judged.groupBy(*CAND).agg(F.count(F.when(F.col("_in"), 1)).alias("inliers"), F.count(F.lit(1)).alias("pool_len"))
-    medians = quantiles(judged.where("_in"), "_error", {"reprojection_error": (0.5, "upper")}, CAND)
+    medians = quantiles_of_few(judged.where("_in"), "_error", {"reprojection_error": (0.5, "upper")}, CAND)
     quads = fits.withColumn("quad", board_quad("homography", "white_keys"))
     scored = quads.join(counts, CAND).join(medians, CAND)
     share = F.col("inliers") / F.col("pool_len").cast("double")
@@ -524,7 +506,7 @@ def gap_spacing(peaks: DataFrame, fits: DataFrame) -> DataFrame:
     step = F.col("tx") - F.col("_before")
     steps = stepped.withColumn("_step", step).where((step > SPACING_LEAST) & (step < SPACING_MOST))
     enough = steps.groupBy(*CAND).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= SPACING_STEPS)
-    return quantiles(steps, "_step", {"gap_spacing": (0.5, "upper")}, CAND).join(enough.select(*CAND), CAND, "left_semi")
+    return quantiles_of_few(steps, "_step", {"gap_spacing": (0.5, "upper")}, CAND).join(enough.select(*CAND), CAND, "left_semi")
 
 
 def beyond_ends(peaks: DataFrame, fits: DataFrame, depth: float = dims.BLACK_DEPTH) -> DataFrame:

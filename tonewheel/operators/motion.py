@@ -140,7 +140,7 @@ def steadiness(outlines: DataFrame) -> DataFrame:
     jumps = rows.groupBy("clip_id", "frame_index").agg(F.max(F.array_max("moves")).alias("_most")).groupBy("clip_id").agg(
         F.count(F.when(F.col("_most") > JUMP_PX, 1)).alias("_jumps")
     )
-    q = quantiles(rows.select("clip_id", F.explode("moves").alias("move_px")), "move_px", {"move_median": (0.5, "lower"), "move_p95": (0.95, "lower"), "move_p999": (0.999, "lower")}, ["clip_id"])
+    q = quantiles(rows.select("clip_id", F.explode("moves").alias("move_px")), "move_px", {"move_median": (0.5, "lower"), "move_p95": (0.95, "lower"), "move_p999": (0.999, "lower")}, ["clip_id"], stored=True)
 
     def mean(axis):
         return F.aggregate(f"even_{axis}", F.lit(0.0), lambda a, v: a + v) / F.size(f"even_{axis}")

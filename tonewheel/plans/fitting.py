@@ -137,9 +137,53 @@ def e7(spark, sf):
     return picks.sample_picks(lengths)
 
 
-@query("e8_vote")
+def _basis_sql(kind: str, out: str, source: str) -> str:
+    """Three weighted points of each four as columns, in SQL."""
+    def det(p, q, r):
+        return f"({p}x{kind} * ({q}y{kind} - {r}y{kind}) + {q}x{kind} * ({r}y{kind} - {p}y{kind}) + {r}x{kind} * ({p}y{kind} - {q}y{kind}))"
+
+    weights = {"a": det("b", "c", "d"), "b": det("c", "a", "d"), "c": det("a", "b", "d")}
+    cols = ", ".join(f"{w} * {p}x{kind} AS {kind}{p}0, {w} * {p}y{kind} AS {kind}{p}1, {w} AS {kind}{p}2" for p, w in weights.items())
+    return f"{out} AS (SELECT *, {cols} FROM {source})"
+
+
+def _vote_sql() -> str:
+    def cross(p, q, i):
+        j, k = (i + 1) % 3, (i + 2) % 3
+        return f"(s{p}{j} * s{q}{k} - s{p}{k} * s{q}{j})"
+
+    rows = [("a", cross, "b", "c"), ("b", cross, "c", "a"), ("c", cross, "a", "b")]
+    h = ", ".join(" + ".join(f"t{p}{i} * {f(q, r, j)}" for p, f, q, r in rows) + f" AS g{3 * i + j}" for i in range(3) for j in range(3))
+    sines = " OR ".join(
+        f"(CASE WHEN (sqrt(({q}xs-{p}xs)**2 + ({q}ys-{p}ys)**2) * sqrt(({r}xs-{p}xs)**2 + ({r}ys-{p}ys)**2)) > 0 THEN "
+        f"abs(({q}xs-{p}xs)*({r}ys-{p}ys) - ({q}ys-{p}ys)*({r}xs-{p}xs)) / (sqrt(({q}xs-{p}xs)**2 + ({q}ys-{p}ys)**2) * sqrt(({r}xs-{p}xs)**2 + ({r}ys-{p}ys)**2)) ELSE 0e0 END) < 1e-6"
+        for p, q, r in ("bcd", "acd", "abd", "abc")
+    )
+    at = ", ".join(f"{p}.src_x AS {p}xs, {p}.src_y AS {p}ys, {p}.dst_x AS {p}xt, {p}.dst_y AS {p}yt" for p in "abcd")
+    joins = " ".join(f"JOIN pool {p} ON {p}.frame_id = z.frame_id AND {p}.pos = k.got[{i + 1}]" for i, p in enumerate("abcd"))
+
+    def put(dx, i):
+        return f"(h{3 * i} * (src_x + {dx}) + h{3 * i + 1} * src_y + h{3 * i + 2}) / (h6 * (src_x + {dx}) + h7 * src_y + 1)"
+
+    return PICKS + f""",
+four AS MATERIALIZED (SELECT z.frame_id, k.iter, {at} FROM (SELECT frame_id, count(*) AS n FROM pool GROUP BY 1) z
+ JOIN (SELECT DISTINCT n, iter, got FROM step WHERE len(got) = 4) k ON k.n = z.n {joins}),
+sound AS (SELECT * FROM four WHERE NOT ({sines})),
+{_basis_sql("s", "based", "sound")}, {_basis_sql("t", "both_based", "based")},
+raw AS (SELECT frame_id, iter, {h} FROM both_based),
+hyp AS MATERIALIZED (SELECT frame_id, iter, {", ".join(f"g{i} / g8 AS h{i}" for i in range(8))} FROM raw WHERE g8 <> 0),
+tried AS (SELECT y.frame_id, y.iter, h2, h5, sqrt(({put("0e0", 0)} - dst_x)**2 + ({put("0e0", 1)} - dst_y)**2)
+  < 25e-2 * sqrt(({put("5e-1", 0)} - {put("-5e-1", 0)})**2 + ({put("5e-1", 1)} - {put("-5e-1", 1)})**2) AS agrees FROM hyp y JOIN pool p ON p.frame_id = y.frame_id),
+votes AS (SELECT frame_id, iter, h2, h5, count(CASE WHEN agrees THEN 1 END) AS votes FROM tried GROUP BY ALL),
+won AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY votes DESC, iter) AS place FROM votes)"""
+
+
+@query(
+    "e8_vote", POOL_VIEWS, "SELECT frame_id, CAST(0 AS INT) AS cand, votes, round(h2, 4) AS h2, round(h5, 4) AS h5 FROM won WHERE place = 1", _vote_sql()
+)
 def e8(spark, sf):
-    return fit.vote(cut(fit.build_pool(prior_peaks(spark, sf)))).select("frame_id", "cand", "votes")
+    won = fit.vote(cut(fit.build_pool(prior_peaks(spark, sf))))
+    return won.select("frame_id", "cand", "votes", *[F.round(G.at("homography", i), 4).alias(f"h{i}") for i in (2, 5)])
 
 
 @query("e9_refine")
