@@ -61,25 +61,26 @@ def counted(rows: DataFrame, id_col: str, wanted: np.ndarray | None) -> DataFram
     """id, n, terms, counts, signature of each row: the number of all its terms, hashes and counts of the wanted ones, and a hash that
     similar rows share for the greater part."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes(wanted)
         for batch in batches:
-            for start in range(0, len(batch), 1000):
-                part, out = batch.iloc[start : start + 1000], []
-                for text in part["text"]:
-                    words = terms(text)
+            # one text at a time, so that a batch of long ones is held once only
+            for start in range(0, batch.num_rows, 500):
+                part, out = batch.slice(start, 500), []
+                for text in part.column(1):
+                    words = terms(text.as_py())
                     found = {h: c for w, c in Counter(words).items() if (h := known[w])}
                     h = np.fromiter(found, np.int64, len(found))
                     c = np.fromiter(found.values(), np.int32, len(found))
                     out.append((len(words), h, c, similar(h, c)))
-                ids = [None if i is None else int(i) for i in part["id"]]
-                frame = pd.DataFrame(out, columns=["n", "terms", "counts", "signature"])
-                frame.insert(0, "id", pd.array(ids, dtype="Int64"))
-                yield frame
-
-    # ids as text, since pandas holds a column of numbers and nulls as doubles
-    shown = rows.select(F.col(id_col).cast("string").alias("id"), "text")
-    return shown.mapInPandas(count, "id long, n long, terms array<long>, counts array<int>, signature long")
+                n, h, c, signature = zip(*out)
+                ends = pa.array(np.cumsum([0] + [len(x) for x in h]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (h, c)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *lists, pa.array(signature, pa.int64())],
+                                                 names=["id", "n", "terms", "counts", "signature"])
+
+    shown = rows.select(F.col(id_col).cast("long").alias("id"), "text")
+    return shown.mapInArrow(count, "id long, n long, terms array<long>, counts array<int>, signature long")
 
 
 def similar(h: np.ndarray, counts: np.ndarray) -> int:
