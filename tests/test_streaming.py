@@ -1,5 +1,6 @@
 """Tracker scripts, and a stream in several micro-batches against the batch form."""
 
+import json
 import shutil
 
 import pytest
@@ -67,7 +68,7 @@ def test_segments_change_nothing(spark, sf):
     assert sorted(apart.collect(), key=key) == sorted(whole.select("session_id", "frame_index", "white_keys", "quad").collect(), key=key)
 
 
-def replay(spark, df, tmp_path, name, parts, run):
+def replay(spark, df, tmp_path, name, parts, run, seen=None):
     """Feeds the parts of a table to a streaming job one file, so one micro-batch, at a time."""
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     source = tmp_path / "in"
@@ -77,8 +78,11 @@ def replay(spark, df, tmp_path, name, parts, run):
         part.coalesce(1).write.parquet(str(out))
         shutil.copy(next(out.glob("*.parquet")), source / f"{n}.parquet")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    q = run(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+    made, mode = run(stream), "update" if run not in (jobs.stream_track, jobs.stream_sessions) else "append"
+    q = made.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    if seen is not None:
+        seen += [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else p for p in q.recentProgress]
     return spark.table(name)
 
 
@@ -91,12 +95,60 @@ def test_replay_equals_batch(spark, sf, tmp_path, batch, stream):
     assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, batch(frames).select(*cols).collect()))
 
 
-def test_streamed_notes_prune(spark, sf, tmp_path):
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_streamed_notes_end_as_the_batch_has_them(spark, sf, tmp_path, rocks):
     notes = sessions.decode_notes(view(spark, sf, "fx_notes")).where("device_id < 4").cache()
-    middle = notes.selectExpr("percentile(ts_ms, 0.5)").first()[0]
-    got = replay(spark, notes, tmp_path, "live", [notes.where(f"ts_ms <= {middle}"), notes.where(f"ts_ms > {middle}")], jobs.stream_live_notes)
-    last = notes.groupBy("device_id").agg({"ts_ms": "max"}).collect()
-    for device, now in last:
-        want = {(r["pitch"], r["velocity"], r["released_ms"]) for r in jobs.live_notes(notes.where(f"device_id = {device}"), now).collect()}
-        mine = {(r["pitch"], r["velocity"], r["released_ms"]) for r in got.where(f"device_id = {device} and now_ms = {now}").collect()}
-        assert mine == want
+    cuts = notes.selectExpr("percentile(ts_ms, array(0.3, 0.6))").first()[0]
+    parts = [notes.where(f"ts_ms <= {cuts[0]}"), notes.where(f"ts_ms > {cuts[0]} and ts_ms <= {cuts[1]}"), notes.where(f"ts_ms > {cuts[1]}")]
+    got = replay(spark, notes, tmp_path, "live", parts, jobs.stream_live_notes).toPandas()
+    now = notes.agg({"ts_ms": "max"}).first()[0]
+    order = {"lit": 0, "released": 1, "faded": 2}
+    last = got.assign(step=got["change"].map(order)).sort_values(["on_ms", "step"]).groupby(["device_id", "pitch"]).tail(1)
+    fresh = last[(last["change"] != "faded") & (last["released_ms"].isna() | (now - last["released_ms"] < sessions.FADE_MS))]
+    mine = {(r.device_id, r.pitch, r.velocity, None if r.released_ms != r.released_ms else r.released_ms) for r in fresh.itertuples()}
+    assert mine == {(r["device_id"], r["pitch"], r["velocity"], r["released_ms"]) for r in jobs.live_notes(notes, now).collect()}
+
+
+def test_faded_notes_leave_the_state_and_late_ones_are_counted(spark, tmp_path, rocks):
+    schema = "device_id bigint, ord bigint, ts_ms bigint, pitch bigint, velocity bigint, is_on boolean"
+
+    def made(*rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    def off(order, ms, pitch):
+        return (1, order, ms, pitch, 0, False)
+
+    # pitch 62's release comes before its strike; 63 is struck again after its release; 64's release has no strike
+    parts = [
+        made((1, 1, 10_000, 60, 90, True), (1, 2, 10_050, 61, 80, True), off(3, 10_100, 60), off(5, 10_300, 62), off(9, 10_200, 64)),
+        made((1, 4, 10_250, 62, 70, True), (1, 6, 10_400, 63, 60, True), off(7, 10_500, 63), (1, 8, 10_600, 63, 50, True), off(10, 10_320, 62)),
+        made((2, 1, 20_000, 60, 40, True)),
+        made((1, 11, 5_000, 61, 33, True), (2, 2, 20_100, 60, 41, True)),
+        made((2, 3, 20_200, 61, 42, True)),
+    ]
+    seen = []
+
+    def run(stream):
+        return jobs.stream_live_notes(stream)
+
+    got = replay(spark, parts[0], tmp_path, "faded", parts, run, seen)
+    rows = {(r["device_id"], r["pitch"], r["on_ms"], r["released_ms"], r["change"]) for r in got.collect()}
+    assert rows == {
+        (1, 60, 10_000, 10_100, "released"), (1, 61, 10_050, None, "lit"), (1, 62, 10_250, 10_300, "released"), (1, 63, 10_600, None, "lit"),
+        (2, 60, 20_000, None, "lit"), (1, 60, 10_000, 10_100, "faded"), (1, 62, 10_250, 10_300, "faded"), (2, 60, 20_100, None, "lit"), (2, 61, 20_200, None, "lit"),
+    }
+    states = [p["stateOperators"][0] for p in seen if p["stateOperators"]]
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) == 1
+    # left at the end: 61 and 63 of the first device, 60 and 61 of the second
+    assert max(s["numRowsTotal"] for s in states) > states[-1]["numRowsTotal"]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tonewheel.functions.scans import Running, running
 from tonewheel.functions.walk import walk
@@ -195,29 +196,86 @@ def live_notes(notes: DataFrame, now) -> DataFrame:
     return live.where(fresh).select("device_id", "pitch", F.col("on.velocity").alias("velocity"), "released_ms")
 
 
-def stream_live_notes(notes: DataFrame) -> DataFrame:
-    """G12, stream: after each micro-batch, each device's live notes; faded ones leave the state.
+NOTE_CHANGES = "device_id bigint, pitch bigint, on_ms bigint, velocity bigint, released_ms bigint, change string"
 
-    A device's state is at most 128 pitches.
+
+class NotePruner(StatefulProcessor):
+    """One pitch of one device: its last strike and the releases after it, whatever order they came in.
+
+    Releases without a strike are kept until the watermark passes them, since an earlier strike may still come. A timer
+    400 ms after the release takes the note out of the state.
     """
-    schema = "device_id bigint, now_ms bigint, pitch bigint, velocity bigint, released_ms bigint"
 
-    def update(key, batches, state):
+    def init(self, handle):
+        self.handle = handle
+        self.note = handle.getValueState("note", "on_ms bigint, on_ord bigint, velocity bigint, off_ms array<bigint>, off_ord array<bigint>")
+
+    def _held(self):
+        if not self.note.exists():
+            return None, []
+        on_ms, on_ord, velocity, off_ms, off_ord = self.note.get()
+        return (None if on_ms is None else (on_ms, on_ord, velocity)), list(zip(off_ms, off_ord))
+
+    def _settle(self, on, offs, watermark):
+        """Stores what can still matter, with the timer at which it no longer does."""
+        offs = sorted(o for o in set(offs) if (o > on[:2] if on else o[0] > watermark))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        released = offs[0][0] if on and offs else None
+        ends = offs[-1][0] + 1 if offs and not on else None if released is None else released + FADE_MS
+        if on is None and not offs:
+            self.note.clear()
+        else:
+            self.note.update((*(on or (None, None, None)), [m for m, _ in offs], [o for _, o in offs]))
+            if ends is not None:
+                self.handle.registerTimer(ends)
+        return released
+
+    @staticmethod
+    def _change(key, on, released, change):
         import pandas as pd
 
-        held = json.loads(state.get[0]) if state.exists else {}
-        now = 0
-        for row in sorted((r for pdf in batches for r in pdf.to_dict("records")), key=lambda r: (r["ts_ms"], r["ord"])):
-            now, pitch = int(row["ts_ms"]), str(int(row["pitch"]))
-            if row["is_on"]:
-                held[pitch] = [int(row["velocity"]), None]
-            elif pitch in held and held[pitch][1] is None:
-                held[pitch][1] = now
-        held = {p: n for p, n in held.items() if n[1] is None or now - n[1] < FADE_MS}
-        state.update((json.dumps(held),))
-        out = [(key[0], now, int(p), v, r) for p, (v, r) in held.items()]
-        frame = pd.DataFrame(out, columns=["device_id", "now_ms", "pitch", "velocity", "released_ms"])
-        yield frame.astype({"released_ms": "Int64"})
-
-    cols = ["device_id", "ord", "ts_ms", "pitch", "velocity", "is_on"]
-    return notes.select(*cols).groupBy("device_id").applyInPandasWithState(update, schema, "held string", "append", "NoTimeout")
+        frame = pd.DataFrame([(key[0], key[1], on[0], on[2], released, change)], columns=[c.split()[0] for c in NOTE_CHANGES.split(", ")])
+        return frame.astype({"released_ms": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        before, offs = self._held()
+        on = before
+        was = min((o for o in offs if on and o > on[:2]), default=None)
+        for pdf in rows:
+            for ms, order, velocity, is_on in zip(*(pdf[c].tolist() for c in ("ts_ms", "ord", "velocity", "is_on"))):
+                if not is_on:
+                    offs.append((ms, order))
+                elif on is None or (ms, order) > on[:2]:
+                    on = (ms, order, velocity)
+        released = self._settle(on, offs, timerValues.getCurrentWatermarkInMs())
+        if on is not None and (on != before or released != (was and was[0])):
+            yield self._change(key, on, released, "lit" if released is None else "released")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        on, offs = self._held()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        released = min(offs)[0] if on and offs else None
+        if released is not None and released + FADE_MS <= watermark:
+            self._settle(None, [], watermark)
+            yield self._change(key, on, released, "faded")
+        else:
+            self._settle(on, offs, watermark)
+
+    def close(self):
+        pass
+
+
+def stream_live_notes(notes: DataFrame, delay: str = "1 second") -> DataFrame:
+    """G12, stream: each change of a note that is struck, released, or faded and then forgotten.
+
+    State is one value for each pitch of a device that sounds; it leaves once the watermark, `delay` behind the latest
+    message, is 400 ms past the release. Messages older than the watermark are left out and counted by the query's progress
+    (numRowsDroppedByWatermark). Needs the RocksDB state store:
+    spark.sql.streaming.stateStore.providerClass =
+    org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider.
+    """
+    rows = notes.select("device_id", "pitch", "ord", "ts_ms", "velocity", "is_on", F.timestamp_millis("ts_ms").alias("ts"))
+    return rows.withWatermark("ts", delay).groupBy("device_id", "pitch").transformWithStateInPandas(
+        NotePruner(), outputStructType=NOTE_CHANGES, outputMode="Update", timeMode="EventTime"
+    )
