@@ -106,6 +106,29 @@ def test_average_chained_over_chunks(spark):
     assert all(math.isclose(got[i], want[i], abs_tol=1e-12) for i in want)
 
 
+def test_average_at_any_share(spark):
+    rng = random.Random(10)
+    values = [rng.uniform(-1, 1) for _ in range(3000)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)] + [(2, 0, 5.0)], "k int, o bigint, v double")
+    for share in (1.0, 0.5, 0.001, 0.0):
+        got = {(r["k"], r["o"]): r["ema"] for r in sessions.ema(df, ["k"], "o", "v", share, span=64).collect()}
+        v = values[0]
+        for i, r in enumerate(values):
+            v = v + share * (r - v)
+            assert math.isclose(got[1, i], v, abs_tol=1e-12)
+        assert len(got) == 3001 and got[2, 0] == 5.0
+
+
+def test_average_of_a_long_key(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("o"), F.sin(F.col("id").cast("double")).alias("v"))
+    got = sessions.ema(df, ["k"], "o", "v", 0.01).orderBy("o").toPandas()["ema"].to_numpy()
+    v = 0.0
+    for i in range(n):
+        v += (1.0 if i == 0 else 0.01) * (math.sin(i) - v)
+        assert abs(got[i] - v) < 1e-9
+
+
 def test_draws_agree_in_sql_and_in_tasks(spark):
     got = [r[0] for r in spark.range(500).select(picks.draw(F.col("id"))).collect()]
     assert got == list(picks.draws(500))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewheel.functions.geometry import col
-from tonewheel.functions.lineage import cut
-from tonewheel.functions.scans import Running, numbered, running
+from tonewheel.functions.scans import SPAN, Running, affine, numbered, running
 
 # Fixed values of the note effects.
 FADE_MS, FULL_VELOCITY = 400, 127
@@ -31,36 +30,14 @@ def streaks(df: DataFrame, keys: list[str], order: str, condition) -> DataFrame:
     ).drop("_hit", "_miss", "_last_miss", "_first", "_before")
 
 
-def ema(df: DataFrame, keys: list[str], order: str, value: str, share: float, every: int = 1, span: int = 256) -> DataFrame:
-    """V += share * (reading - v) over every `every`-th row; the first reading starts it.
-
-    A step is affine in v, and so is a chunk of steps, so chunks are folded apart and then chained.
-    A chunk passes on (1 - share)^span of what came before; chunks so far back that double precision
-    cannot hold their share are left out of the chain.
-    """
-    import math
-
+def ema(df: DataFrame, keys: list[str], order: str, value: str, share: float, every: int = 1, span: int = SPAN) -> DataFrame:
+    """V += share * (reading - v) over every `every`-th row; the first reading starts it. Any share from 0 to 1."""
     placed = numbered(df, keys, [order], "_pos").where((F.col("_pos") - 1) % every == 0)
-    placed = placed.withColumn("_n", F.floor((F.col("_pos") - 1) / every)).withColumn("_chunk", F.floor(F.col("_n") / span))
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    keep = F.lit(1.0 - share)
-    # within a chunk, v after row n is keep^(n+1) of what came in plus these readings
+    placed = placed.withColumn("_n", F.floor((F.col("_pos") - 1) / every))
     first = F.col("_n") == 0
-    fold = F.aggregate(
-        F.collect_list(F.struct(F.col(value).alias("r"), first.alias("first"))).over(w), F.lit(0.0),
-        lambda v, e: F.when(e["first"], e["r"]).otherwise(v * keep + e["r"] * share),
-    )
-    steps = placed.withColumn("_v", fold).withColumn("_gain", F.pow(keep, (F.col("_n") % span + 1).cast("double")))
-    last = steps.groupBy(*keys, "_chunk").agg(F.max_by(F.struct("_v", "_gain"), "_n").alias("_out"))
-    reach = max(1, math.ceil(750.0 / (-math.log(1.0 - share) * span))) + 1
-    past = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-reach, -1)
-    chain = last.select(
-        *keys, "_chunk",
-        F.aggregate(F.collect_list("_out").over(past), F.lit(0.0), lambda v, c: c["_v"] + c["_gain"] * v).alias("_in"),
-    )
-    out = steps.join(chain, [*keys, "_chunk"])
-    gain = F.when(F.col("_chunk") == 0, F.lit(0.0)).otherwise(F.col("_gain"))
-    return out.withColumn("ema", F.col("_v") + gain * F.coalesce("_in", F.lit(0.0))).select(*df.columns, "ema")
+    gain = F.when(first, 0.0).otherwise(1.0 - share)
+    offset = F.when(first, F.col(value)).otherwise(F.col(value) * share)
+    return affine(placed, keys, "_n", gain, offset, "ema", span).select(*df.columns, "ema")
 
 
 def decode_notes(raw: DataFrame) -> DataFrame:
