@@ -31,7 +31,7 @@ BLOCK = 64
 TOGETHER = 512
 #: Cells of the table of documents by terms that a task fills at once.
 CELLS = 1 << 23
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 
 
 class _Hashes(dict):
@@ -202,11 +202,25 @@ def best_of(table: np.ndarray, rows: np.ndarray, queries: Queries, i: int) -> np
     return table[np.ix_(rows, queries.columns[i])].astype(np.int64) @ queries.weights[i]
 
 
-#: Schema of the stored index, for Spark and for its tasks.
-INDEX = ("block int, ids binary, known binary, places binary, columns binary, impacts binary, of binary, members binary, "
-         "member_ends binary, maxima binary, maxima_ends binary, hits array<struct<item: long, score: long>>")
-ARROW_INDEX = pa.schema([("block", pa.int32()), *[(c.split()[0], pa.binary()) for c in INDEX.split(", ")[1:11]],
+#: Schema of the stored index, for Spark and for its tasks: a chunk's arrays, compressed one after another, and how many bytes each has.
+INDEX = "block int, chunk binary, sizes array<long>, hits array<struct<item: long, score: long>>"
+ARROW_INDEX = pa.schema([("block", pa.int32()), ("chunk", pa.binary()), ("sizes", pa.list_(pa.int64())),
                          ("hits", pa.list_(pa.struct([("item", pa.int64()), ("score", pa.int64())])))])
+#: A chunk's documents, their impacts by document and column, and its blocks.
+FIELDS = {"ids": np.int64, "known": bool, "places": np.int32, "columns": np.int32, "impacts": np.int32, "of": np.int32, "members": np.int32,
+          "member_ends": np.int64, "maxima": np.int32, "maxima_ends": np.int64}
+
+
+def _stored(arrays: dict[str, np.ndarray]) -> tuple[bytes, list[int]]:
+    parts = [np.asarray(arrays[name], dtype=kind).tobytes() for name, kind in FIELDS.items()]
+    return pa.Codec("zstd", 1).compress(b"".join(parts), asbytes=True), [len(p) for p in parts]
+
+
+def _loaded(row: dict) -> dict[str, np.ndarray]:
+    whole = pa.Codec("zstd").decompress(row["chunk"], decompressed_size=sum(row["sizes"]))
+    starts = np.cumsum([0, *row["sizes"]])
+    return {name: np.frombuffer(whole, kind, count=size // np.dtype(kind).itemsize, offset=start)
+            for (name, kind), size, start in zip(FIELDS.items(), row["sizes"], starts.tolist())}
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -262,12 +276,12 @@ def _indexed(r: dict, queries: Queries, k: int, size: int) -> Iterator[dict]:
                     break
             scores = np.sort(best_of(table, rows, queries, i))[::-1][:k]
             hits += [{"item": int(queries.items[i]), "score": int(x)} for x in scores if x > 0]
-        yield {
-            "block": r["block"], "ids": ids[start : start + n].tobytes(), "known": known[start : start + n].tobytes(),
-            "places": (owner[s] - start).astype(np.int32).tobytes(), "columns": place[s].astype(np.int32).tobytes(),
-            "impacts": impact[s].astype(np.int32).tobytes(), "of": of.tobytes(), "members": _all(members, np.int32), "member_ends": _ends(members),
-            "maxima": _all(maxima, np.int32), "maxima_ends": _ends(maxima), "hits": hits,
-        }
+        chunk, sizes = _stored({
+            "ids": ids[start : start + n], "known": known[start : start + n], "places": owner[s] - start, "columns": place[s], "impacts": impact[s],
+            "of": of, "members": np.concatenate(members) if members else [], "member_ends": np.cumsum([len(m) for m in members]),
+            "maxima": np.concatenate(maxima) if maxima else [], "maxima_ends": np.cumsum([len(m) for m in maxima]),
+        })
+        yield {"block": r["block"], "chunk": chunk, "sizes": sizes, "hits": hits}
 
 
 def scan(stored: DataFrame, asked: DataFrame, thresholds: DataFrame, k: int) -> DataFrame:
@@ -290,12 +304,13 @@ def scan(stored: DataFrame, asked: DataFrame, thresholds: DataFrame, k: int) ->
 
 def _scanned(r: dict, queries: Queries, k: int) -> list[tuple]:
     least = {x["item"]: x["score"] for x in r["least"] or []}
-    ids, known = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], bool)
+    chunk = _loaded(r)
+    ids, known = chunk["ids"], chunk["known"]
     table = np.zeros((len(ids), queries.width), np.int32)
-    table[np.frombuffer(r["places"], np.int32), np.frombuffer(r["columns"], np.int32)] = np.frombuffer(r["impacts"], np.int32)
-    members, maxima = _parts(r["members"], r["member_ends"], np.int32), _parts(r["maxima"], r["maxima_ends"], np.int32)
+    table[chunk["places"], chunk["columns"]] = chunk["impacts"]
+    members, maxima = np.split(chunk["members"], chunk["member_ends"][:-1]), np.split(chunk["maxima"], chunk["maxima_ends"][:-1])
     out = []
-    for i, found in bounds(queries, np.frombuffer(r["of"], np.int64), maxima).items():
+    for i, found in bounds(queries, chunk["of"], maxima).items():
         item = int(queries.items[i])
         floor = max(least.get(item, 1), 1)
         passed, failed = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
