@@ -97,18 +97,74 @@ def test_lift_depth_and_bend_are_read_back(spark, sf):
     assert abs(sorted(bends)[len(bends) // 2]) < 0.02
 
 
-def test_silhouette_starts_at_the_tops_first_corner():
-    def square(x, y, side):
-        return [(x + dx * side, y + dy * side) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))]
+RING = "array<struct<x:double,y:double>>"
 
-    hull = lift.silhouette(square(0, 0, 1), square(0.5, 1, 1))
-    assert len(hull) == 6 and hull[0] == (0, 0)
 
+def rings(spark, *rows):
+    return spark.createDataFrame([tuple([{"x": float(x), "y": float(y)} for x, y in ring] for ring in row) for row in rows], f"a {RING}, b {RING}")
 
-def test_presence_cuts_the_quad_at_the_frame():
-    quad = [(-50.0, 10.0), (50.0, 10.0), (50.0, 60.0), (-50.0, 60.0)]
-    assert labels.clipped_area(quad, 640.0, 480.0) == 2500.0
-    assert labels.clipped_area([(700.0, 0.0), (800.0, 0.0), (800.0, 9.0), (700.0, 9.0)], 640.0, 480.0) == 0.0
+
+def square(x, y, side):
+    return [(x + dx * side, y + dy * side) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))]
+
+
+def test_silhouette_is_the_hull_from_the_tops_first_corner(spark):
+    import random
+
+    draw = random.Random(4)
+    cases = [(square(0, 0, 1), square(0.5, 1, 1)), (square(0, 0, 1)[::-1], square(0.5, 1, 1)), (square(0, 0, 2), square(0.5, 0.5, 1)), (square(0, 0, 1), square(0, 0, 1)),
+             ([(0, 0), (1, 0), (2, 0), (3, 0)], [(4, 0), (1, 0), (2, 0), (3, 0)])]
+    cases += [([(draw.randrange(5), draw.randrange(5)) for _ in range(4)], [(draw.random() * 5, draw.random() * 5) for _ in range(4)]) for _ in range(60)]
+
+    def cross(a, b, c):
+        return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+    def area(ring):
+        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+
+    got = [[(p["x"], p["y"]) for p in r[0]] for r in rings(spark, *cases).select(lift.silhouette("a", "b")).collect()]
+    for (top, foot), hull in zip(cases, got):
+        every = {*map(tuple, top), *map(tuple, foot)}
+        assert set(hull) <= every and len(set(hull)) == len(hull) >= 2
+        turns = [cross(a, b, c) for a, b, c in zip(hull, hull[1:] + hull[:1], hull[2:] + hull[:2])] if len(hull) > 2 else []
+        assert all(t > 0 for t in turns) or all(t < 0 for t in turns)
+        way = 1 if area(hull) > 0 else -1
+        assert len(hull) == 2 or all(way * cross(a, b, c) >= 0 for a, b in zip(hull, hull[1:] + hull[:1]) for c in every)
+        assert area(hull) * area(top) >= 0
+        assert hull[0] == min(hull, key=lambda p: (p[0] - top[0][0]) ** 2 + (p[1] - top[0][1]) ** 2)
+    assert len(got[0]) == 6 and got[0][0] == (0, 0) and len(got[3]) == 4 and len(got[4]) == 2
+
+
+def test_presence_cuts_the_quad_at_the_frame(spark):
+    quads = [[(-50.0, 10.0), (50.0, 10.0), (50.0, 60.0), (-50.0, 60.0)], [(700.0, 0.0), (800.0, 0.0), (800.0, 9.0), (700.0, 9.0)],
+             [(-100, -100), (900, -100), (900, 900), (-100, 900)], [(320, -240), (960, 240), (320, 720), (-320, 240)]]
+    df = rings(spark, *[(q, q) for q in quads])
+    got = [r[0] for r in df.select(labels.ring_area(labels.clipped("a", F.lit(640), F.lit(480)))).collect()]
+    assert got == [2500.0, 0.0, 640.0 * 480.0, 640.0 * 480.0]
+    frames = df.select(F.lit(1).alias("frame_id"), F.when(F.col("a")[0]["x"] != -50.0, F.col("a")).alias("quad"), F.lit(9).alias("keys"), F.lit(640).alias("width"), F.lit(480).alias("height"))
+    assert [r["presence"] for r in labels.presence(frames).collect()] == [0.0, 0.0, 1.0, 1.0]
+
+
+def test_known_bends_are_recovered(spark):
+    """A planted 52-key board seen through lenses of known bend."""
+    board = np.array([[(0, 0), (52, 0), (52, 1), (0, 1)]], dtype=float)
+    h = homographies(board, np.array([[(0.06, 0.35), (0.93, 0.3), (0.97, 0.72), (0.03, 0.68)]]))[0]
+    aspect, peaks, fits = 16 / 9, [], []
+    for frame, k in enumerate((0.0, 0.07, -0.06, 0.12)):
+        reach = np.hypot(aspect, 1.0) / 2.0
+        for channel, y in ((9, 0.0), (4, 1.0)):
+            for x in range(1, 52):
+                w = h[6] * x + h[7] * y + 1
+                px, py = ((h[0] * x + h[1] * y + h[2]) / w - 0.5) * aspect / reach, ((h[3] * x + h[4] * y + h[5]) / w - 0.5) / reach
+                s = np.hypot(px, py)
+                scale = 1.0 if k == 0 else (1.0 - np.sqrt(1.0 - 4.0 * k * s * s)) / (2.0 * k * s * s)
+                peaks.append((frame, channel, x, float(0.5 + px * scale * reach / aspect), float(0.5 + py * scale * reach)))
+        fits.append((frame, 0, 52, "A", [float(v) for v in h], k, aspect))
+    peaks = spark.createDataFrame(peaks, "frame_id bigint, channel int, ord bigint, x double, y double")
+    fits = spark.createDataFrame(fits, "frame_id bigint, cand int, white_keys int, phase string, homography array<double>, lens_k double, lens_aspect double")
+    got = {r["frame_id"]: r["bend"] for r in lift.lens_bend(peaks, fits).collect()}
+    assert got.keys() == {0, 1, 2, 3}
+    assert all(abs(got[f] - k) < 2e-3 for f, k in enumerate((0.0, 0.07, -0.06, 0.12))), got
 
 
 def test_reproject_moves_gaps_one_key_along(spark, sf):

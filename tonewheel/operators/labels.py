@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tonewheel.functions import geometry as G
 from tonewheel.functions.geometry import at, col, div, point
+from tonewheel.functions.lineage import cut
 from tonewheel.operators import dims
 from tonewheel.operators.detect import crop_axes
 
@@ -23,6 +24,10 @@ TRACKING_SHARE, PRESENCE_SHARE = 0.5, 0.2
 IGNORE_ABOVE = 127
 
 
+#: Distances in pixels that count as equal where rounding alone would decide.
+TIE = 1e-6
+
+
 def _mean(face) -> Column:
     p = G.corners_of(face)
     return point(G.total([c["x"] for c in p]) / F.lit(4.0), G.total([c["y"] for c in p]) / F.lit(4.0))
@@ -52,42 +57,37 @@ def frame_axes(keys: DataFrame) -> DataFrame:
     )
 
 
-def _placed(corners: list[Column], ux, uy) -> list[Column]:
-    """Each corner with its place along an axis, so that structs compare by it and then by order."""
-    return [
-        F.struct((c["x"] * ux + c["y"] * uy).alias("at"), F.lit(i).alias("i"), point(c["x"], c["y"]).alias("p"))
-        for i, c in enumerate(corners)
-    ]
-
+def _along(face, ux, uy, *more) -> Column:
+    """A face's corners by their place along an axis, then by their order."""
+    def entry(c, i):
+        return F.struct((c["x"] * ux + c["y"] * uy).alias("at"), i.alias("i"), point(c["x"], c["y"]).alias("p"), *[f(c) for f in more])
 
-def _low_high(chosen: list[Column]) -> tuple[Column, Column]:
-    """The low and high side of two corners; a NULL is a corner not chosen."""
-    pair = F.array(*chosen)
-    return F.array_min(pair)["p"], F.array_max(pair)["p"]
+    return F.array_sort(F.transform(col(face), entry))
 
 
 def split_depth(keys: DataFrame, axes: DataFrame) -> DataFrame:
-    """Each white key's back and front corners, low and high side."""
+    """Each white key's back and front corners, low and high side.
+
+    The pair nearer the black keys is the back one. Pairs whose distances differ by less than TIE pixels, as on boards without
+    black keys, are equally near, and then the first along the cross axis is the back one.
+    """
     whites = keys.where(~F.col("black")).join(axes, "frame_id")
     kx, ky = F.col("kx"), F.col("ky")
-    ordered = whites.withColumn("_o", F.sort_array(F.array(*_placed(G.corners_of("top"), -ky, kx))))
     ref = F.col("ref_y") * kx - F.col("ref_x") * ky
 
-    def away(a, b):
-        return F.abs((at("_o", a)["at"] + at("_o", b)["at"]) / F.lit(2.0) - ref)
+    def pairs(across):
+        def away(i):
+            return F.abs((at(across, i)["at"] + at(across, i + 1)["at"]) / F.lit(2.0) - ref)
 
-    sided = ordered.withColumn("_first", away(0, 1) <= away(2, 3))
+        first = away(0) <= away(2) + TIE
 
-    def side(back):
-        first = F.col("_first") == back
-        corners = [F.when(first, at("_o", n)["p"]).otherwise(at("_o", n + 2)["p"]) for n in range(2)]
-        return _low_high(_placed(corners, kx, ky))
+        def side(start):
+            return _along(F.transform(F.slice(across, start, 2), lambda e: e["p"]), kx, ky)
 
-    back, front = side(True), side(False)
-    return sided.select(
-        "frame_id", "pitch", back[0].alias("back_low"), back[1].alias("back_high"),
-        front[0].alias("front_low"), front[1].alias("front_high"),
-    )
+        return F.struct(side(F.when(first, 1).otherwise(3)).alias("back"), side(F.when(first, 3).otherwise(1)).alias("front"))
+
+    sided = whites.select("frame_id", "pitch", G.let(_along("top", -ky, kx), pairs).alias("_s"))
+    return sided.select("frame_id", "pitch", *[at(f"_s.{s}", i)["p"].alias(f"{s}_{h}") for s in ("back", "front") for i, h in enumerate(("low", "high"))])
 
 
 def _long(df: DataFrame, entries) -> DataFrame:
@@ -139,33 +139,23 @@ def black_fronts(keys: DataFrame, axes: DataFrame) -> DataFrame:
     Corners within a millionth of a pixel of a top corner are on the top. A key whose front does not
     split two and two gives no row.
     """
-    top, front = G.corners_of("top"), G.corners_of("front")
+    kx, ky = F.col("kx"), F.col("ky")
 
-    def touches(a, b):
-        return F.hypot(a["x"] - b["x"], a["y"] - b["y"]) < SAME_CORNER_PX
+    def meets(other):
+        def one(c):
+            return F.exists(F.col(other), lambda o: F.hypot(c["x"] - o["x"], c["y"] - o["y"]) < SAME_CORNER_PX).alias("meets")
 
-    def any_of(tests):
-        return F.greatest(*tests)
+        return one
 
-    flagged = (
-        keys.where(F.col("black") & F.col("front").isNotNull())
-        .withColumn("_f", F.array(*[any_of([touches(f, t) for t in top]) for f in front]))
-        .withColumn("_t", F.array(*[any_of([touches(f, t) for f in front]) for t in top]))
-        .join(axes, "frame_id")
+    placed = keys.where(F.col("black") & F.col("front").isNotNull()).join(axes, "frame_id").select(
+        "frame_id", "pitch", _along("front", kx, ky, meets("top")).alias("_f"), _along("top", kx, ky, meets("front")).alias("_t")
     )
-    kx, ky = F.col("kx"), F.col("ky")
-    fronts, tops = _placed(front, kx, ky), _placed(top, kx, ky)
-    on_top, taken = [at("_f", i) for i in range(4)], [at("_t", i) for i in range(4)]
-    upper = _low_high([F.when(on_top[i], fronts[i]) for i in range(4)])
-    bottom = _low_high([F.when(~on_top[i], fronts[i]) for i in range(4)])
     # should both front corners meet one top corner, three are left and the first two count
-    left = F.sort_array(F.array_compact(F.array(*[F.when(~taken[i], tops[i]) for i in range(4)])))
-    rear = (at(left, 0)["p"], at(left, 1)["p"])
-    shared = G.total([o.cast("int") for o in on_top])
-    return flagged.where(shared == 2).select(
-        "frame_id", "pitch", bottom[0].alias("bottom_low"), bottom[1].alias("bottom_high"),
-        upper[0].alias("top_low"), upper[1].alias("top_high"), rear[0].alias("back_low"), rear[1].alias("back_high"),
-    )
+    parted = placed.select(
+        "frame_id", "pitch", F.filter("_f", lambda e: e["meets"]).alias("top"), F.filter("_f", lambda e: ~e["meets"]).alias("bottom"),
+        F.filter("_t", lambda e: ~e["meets"]).alias("back"),
+    ).where(F.size("top") == 2)
+    return parted.select("frame_id", "pitch", *[at(s, i)["p"].alias(f"{s}_{h}") for s in ("bottom", "top", "back") for i, h in enumerate(("low", "high"))])
 
 
 def black_points(fronts: DataFrame) -> DataFrame:
@@ -193,8 +183,8 @@ def hidden_corners(corners: DataFrame, frames: DataFrame) -> DataFrame:
 
 def derive_points(keys: DataFrame) -> DataFrame:
     """B1-B7 together: every derived label point of every frame with a keyboard axis."""
-    axes = frame_axes(keys)
-    white = split_depth(keys, axes)
+    axes = cut(frame_axes(keys))
+    white = cut(split_depth(keys, axes))
     return corner_points(board_corners(white)).unionByName(gaps(white)).unionByName(black_points(black_fronts(keys, axes)))
 
 
@@ -246,21 +236,38 @@ def rectified_crop(quad, width: int = TRACK_WIDTH, height: int = TRACK_HEIGHT) -
     return G.let(G.let(G.square_to(quad), G.invert), placed)
 
 
-def clipped_area(points, width: float, height: float) -> float:
-    """The area of a convex polygon inside the frame, cut edge by edge."""
-    for axis, bound, keep in ((0, 0.0, 1), (0, width, -1), (1, 0.0, 1), (1, height, -1)):
-        cut = []
-        for a, b in zip(points, points[1:] + points[:1]):
-            da, db = keep * (a[axis] - bound), keep * (b[axis] - bound)
-            if da >= 0:
-                cut.append(a)
-            if da * db < 0:
-                t = da / (da - db)
-                cut.append((a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t))
-        points = cut
-        if not points:
-            return 0.0
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1]))) / 2.0
+def clipped(ring, width, height) -> Column:
+    """The part of a convex polygon inside the frame, cut by one half plane after another."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    w, h = col(width).cast("double"), col(height).cast("double")
+    # each side of the frame as (a, b, c): inside where a x + b y + c >= 0
+    sides = F.array(*[F.struct(a.alias("a"), b.alias("b"), c.alias("c")) for a, b, c in (
+        (one, zero, zero), (-one, zero, w), (zero, one, zero), (zero, -one, h))])
+
+    def cut_by(points, side):
+        def room(p):
+            return side["a"] * p["x"] + side["b"] * p["y"] + side["c"]
+
+        def kept(p, i):
+            q = F.get(points, (i + 1) % F.size(points))
+            here, there = room(p), room(q)
+            t = div(here, here - there)
+            crossing = F.array(point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t))
+            none = F.slice(F.array(p), 1, 0)
+            return F.concat(F.when(here >= 0, F.array(p)).otherwise(none), F.when(here * there < 0, crossing).otherwise(none))
+
+        return F.flatten(F.transform(points, kept))
+
+    return F.aggregate(sides, col(ring), cut_by)
+
+
+def ring_area(ring) -> Column:
+    """The area a polygon encloses; 0 for an empty one."""
+    def term(p, i):
+        q = F.get(col(ring), (i + 1) % F.size(col(ring)))
+        return p["x"] * q["y"] - q["x"] * p["y"]
+
+    return F.abs(F.aggregate(F.transform(col(ring), term), F.lit(0.0), lambda a, t: a + t)) / 2.0
 
 
 def presence(frames: DataFrame) -> DataFrame:
@@ -268,18 +275,10 @@ def presence(frames: DataFrame) -> DataFrame:
 
     `frames` has frame_id, quad (pixels, NULL for a negative), keys (their number), width, height.
     """
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for quad, keys, w, h in zip(pdf["quad"], pdf["keys"], pdf["width"], pdf["height"]):
-                pts = [] if quad is None or not keys else [(p["x"], p["y"]) for p in quad]
-                area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(pts, pts[1:] + pts[:1]))) / 2.0
-                seen = clipped_area(pts, float(w), float(h)) / area if area > 0 else 0.0
-                out.append(1.0 if seen >= PRESENCE_SHARE else 0.0)
-            pdf["presence"] = out
-            yield pdf[["frame_id", "presence"]]
-
-    return frames.select("frame_id", "quad", "keys", "width", "height").mapInPandas(run, "frame_id bigint, presence double")
+    inside = G.let(clipped("quad", "width", "height"), ring_area)
+    share = div(inside, G.let(F.col("quad"), ring_area))
+    shown = F.coalesce((F.col("keys") > 0) & (share >= PRESENCE_SHARE), F.lit(False))
+    return frames.select("frame_id", F.when(shown, 1.0).otherwise(0.0).alias("presence"))
 
 
 def with_crop_xy(points: DataFrame) -> DataFrame:

@@ -10,11 +10,9 @@ from tonewheel.plans.registry import query, r6
 from tonewheel.sources.fixtures import view
 
 
-def keys(spark, sf, every=False):
-    """The fixture's keys; boards without blacks only where a near tie between a white key's two
-    pairs, which they all have, does not matter."""
+def keys(spark, sf):
+    """The fixture's keys; one frame in eleven has no black ones."""
     k = view(spark, sf, "fx_keys")
-    k = k if every else k.where("frame_id % 11 <> 0")
     top = G.quad(*[f"t{c}{a}" for c in range(4) for a in "xy"])
     front = G.quad(*[f"f{c}{a}" for c in range(4) for a in "xy"])
     black = F.col("black") == 1
@@ -38,10 +36,10 @@ axes AS (SELECT a.frame_id, (b.mx - a.mx) / sqrt((b.mx - a.mx)**2 + (b.my - a.my
 
 WHITE = AXES + """,
 proj AS (SELECT k.*, a.kx, a.ky, k.x * -a.ky + k.y * a.kx AS cr, a.rx * -a.ky + a.ry * a.kx AS ref, k.x * a.kx + k.y * a.ky AS al
- FROM kc k JOIN axes a ON k.frame_id = a.frame_id WHERE black = 0 AND face = 'top' AND k.frame_id % 11 <> 0),
+ FROM kc k JOIN axes a ON k.frame_id = a.frame_id WHERE black = 0 AND face = 'top'),
 ranked AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY frame_id, pitch ORDER BY cr, c) <= 2 THEN 1 ELSE 2 END AS pr FROM proj),
 dists AS (SELECT frame_id, pitch, abs(avg(CASE WHEN pr = 1 THEN cr END) - max(ref)) AS d1, abs(avg(CASE WHEN pr = 2 THEN cr END) - max(ref)) AS d2 FROM ranked GROUP BY 1, 2),
-sided AS (SELECT r.*, CASE WHEN (d1 <= d2) = (pr = 1) THEN 'back' ELSE 'front' END AS side,
+sided AS (SELECT r.*, CASE WHEN (d1 <= d2 + 1e-6) = (pr = 1) THEN 'back' ELSE 'front' END AS side,
  CASE WHEN row_number() OVER (PARTITION BY r.frame_id, r.pitch, pr ORDER BY al, cr, c) = 1 THEN 'low' ELSE 'high' END AS lh FROM ranked r JOIN dists d ON r.frame_id = d.frame_id AND r.pitch = d.pitch),
 white AS (SELECT frame_id, pitch, """ + ", ".join(
     f"max(CASE WHEN side = '{s}' AND lh = '{h}' THEN {a} END) AS {s[0]}{h[0]}{a}" for s in ("back", "front") for h in ("low", "high") for a in "xy"
@@ -70,12 +68,12 @@ def xy(df):
 
 @query("b1_key_axis", KEYS, "SELECT frame_id, round(kx, 6) AS kx, round(ky, 6) AS ky FROM axes", AXES)
 def b1(spark, sf):
-    return labels.frame_axes(keys(spark, sf, every=True)).select("frame_id", r6("kx").alias("kx"), r6("ky").alias("ky"))
+    return labels.frame_axes(keys(spark, sf)).select("frame_id", r6("kx").alias("kx"), r6("ky").alias("ky"))
 
 
 @query("b2_black_ref", KEYS, "SELECT frame_id, round(rx, 6) AS ref_x, round(ry, 6) AS ref_y FROM axes", AXES)
 def b2(spark, sf):
-    return labels.frame_axes(keys(spark, sf, every=True)).select("frame_id", r6("ref_x").alias("ref_x"), r6("ref_y").alias("ref_y"))
+    return labels.frame_axes(keys(spark, sf)).select("frame_id", r6("ref_x").alias("ref_x"), r6("ref_y").alias("ref_y"))
 
 
 def white(spark, sf):
@@ -268,7 +266,31 @@ def b16(spark, sf):
     return q.select("frame_id", r6("deg").alias("degrees"), evaluate.elevation_bucket("deg").alias("bucket"))
 
 
-@query("b17_presence")
+def _clip_sql() -> str:
+    """A quad cut by the frame's four sides in turn, corner by corner as rows."""
+    out = ["""shown AS (SELECT frame_id, x * 18e2 - 6e2 AS x, y * 9e2 - 3e2 AS y, pos FROM (
+ SELECT frame_id, unnest([x0, x1, x2, x3]) AS x, unnest([y0, y1, y2, y3]) AS y, unnest([0, 1, 2, 3]) AS pos FROM fx_quads) q)"""]
+    last = "shown"
+    for n, room in enumerate(("x", "64e1 - x", "y", "48e1 - y")):
+        out.append(f"""room{n} AS (SELECT *, {room} AS r FROM {last}),
+next{n} AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, coalesce(lead(r) OVER w, first_value(r) OVER w) AS nr
+ FROM room{n} WINDOW w AS (PARTITION BY frame_id ORDER BY pos)),
+cut{n} AS (SELECT frame_id, x, y, pos * 2 AS pos FROM next{n} WHERE r >= 0
+ UNION ALL SELECT frame_id, x + (nx - x) * (r / (r - nr)), y + (ny - y) * (r / (r - nr)), pos * 2 + 1 FROM next{n} WHERE r * nr < 0)""")
+        last = f"cut{n}"
+    for name, source in (("whole", "shown"), ("left_in", last)):
+        out.append(f"""{name} AS (SELECT frame_id, abs(sum(x * ny - nx * y)) / 2 AS area FROM (
+ SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM {source} WINDOW w AS (PARTITION BY frame_id ORDER BY pos)) s GROUP BY 1)""")
+    return ",\n".join(out)
+
+
+@query(
+    "b17_presence",
+    ("fx_quads",),
+    """SELECT f.frame_id, CASE WHEN f.frame_id % 17 <> 0 AND f.frame_id % 23 > 0 AND w.area > 0 AND coalesce(l.area, 0) / w.area >= 2e-1 THEN 1e0 ELSE 0e0 END AS presence
+FROM fx_quads f LEFT JOIN whole w ON w.frame_id = f.frame_id LEFT JOIN left_in l ON l.frame_id = f.frame_id""",
+    _clip_sql(),
+)
 def b17(spark, sf):
     q = quads(spark, sf).select(
         "frame_id",

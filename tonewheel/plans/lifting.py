@@ -58,11 +58,33 @@ def e20(spark, sf):
     )
 
 
-@query("e21_key_outlines")
+# hull sides leave from a corner with every other point to their left or on them; corners go round by angle
+OUTLINES = FACES + """,
+spots AS (SELECT DISTINCT frame_id, semitone, x, y FROM (SELECT frame_id, semitone, tx AS x, ty AS y FROM face WHERE black = 1 UNION ALL SELECT frame_id, semitone, fx, fy FROM face WHERE black = 1) s),
+turns AS (SELECT a.frame_id, a.semitone, a.x, a.y, b.x AS bx, b.y AS by_, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn, (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) AS within
+ FROM spots a JOIN spots b ON a.frame_id = b.frame_id AND a.semitone = b.semitone AND (a.x <> b.x OR a.y <> b.y) JOIN spots c ON a.frame_id = c.frame_id AND a.semitone = c.semitone),
+hull AS (SELECT DISTINCT frame_id, semitone, x, y FROM (SELECT frame_id, semitone, x, y, bx, by_ FROM turns GROUP BY ALL HAVING count(CASE WHEN turn > 0 OR (turn = 0 AND within <= 0) THEN 1 END) = count(*)) h),
+angled AS (SELECT h.*, atan2(y - avg(y) OVER g, x - avg(x) OVER g) AS angle FROM hull h WINDOW g AS (PARTITION BY frame_id, semitone)),
+firsts AS (SELECT frame_id, semitone, max(CASE WHEN pos = 0 THEN tx END) AS x0, max(CASE WHEN pos = 0 THEN ty END) AS y0, sum(tx * ny - nx * ty) AS area FROM (
+ SELECT *, coalesce(lead(tx) OVER w, first_value(tx) OVER w) AS nx, coalesce(lead(ty) OVER w, first_value(ty) OVER w) AS ny FROM face WHERE black = 1 WINDOW w AS (PARTITION BY frame_id, semitone ORDER BY pos)) t GROUP BY 1, 2),
+ranked AS (SELECT g.*, row_number() OVER (PARTITION BY g.frame_id, g.semitone ORDER BY CASE WHEN area < 0 THEN -angle ELSE angle END) - 1 AS r, count(*) OVER (PARTITION BY g.frame_id, g.semitone) AS n,
+ row_number() OVER (PARTITION BY g.frame_id, g.semitone ORDER BY (g.x - x0)**2 + (g.y - y0)**2) AS near FROM angled g JOIN firsts f ON f.frame_id = g.frame_id AND f.semitone = g.semitone),
+ring AS (SELECT k.frame_id, k.semitone, 1 AS black, CAST((k.r - s.r + k.n) % k.n AS INT) AS pos, k.x, k.y FROM ranked k JOIN ranked s ON s.frame_id = k.frame_id AND s.semitone = k.semitone AND s.near = 1
+ UNION ALL SELECT frame_id, semitone, 0, pos, tx, ty FROM face WHERE black = 0),
+lens AS (SELECT r.*, CAST(r.frame_id % 5 - 2 AS DOUBLE) / 5e1 AS k, CAST(t.width AS DOUBLE) / t.height AS a FROM ring r JOIN fx_truth t ON t.frame_id = r.frame_id),
+off AS (SELECT *, sqrt(a * a + 1e0) / 2e0 AS reach, (x - 5e-1) * a / (sqrt(a * a + 1e0) / 2e0) AS dx, (y - 5e-1) / (sqrt(a * a + 1e0) / 2e0) AS dy FROM lens),
+bending AS (SELECT *, sqrt(dx * dx + dy * dy) AS s, 1e0 - k * (dx * dx + dy * dy) * 4e0 AS room FROM off),
+bent AS (SELECT *, CASE WHEN s < 1e-12 OR abs(k) < 1e-12 OR room < 0 THEN 1e0 ELSE (1e0 - sqrt(greatest(room, 0e0))) / (k * s * 2e0) / s END AS scale FROM bending)"""
+
+
+@query(
+    "e21_key_outlines", FACE_VIEWS,
+    "SELECT frame_id, semitone, CAST(black AS INT) AS black, pos, round(5e-1 + dx * scale * reach / a, 10) AS x, round(5e-1 + dy * scale * reach, 10) AS y FROM bent", OUTLINES,
+)
 def e21(spark, sf):
     out = lift.key_outlines(fits(spark, sf))
     return out.select("frame_id", "semitone", "black", F.posexplode("bar").alias("pos", "p")).select(
-        "frame_id", "semitone", F.col("black").cast("int").alias("black"), "pos", r6("p.x").alias("x"), r6("p.y").alias("y")
+        "frame_id", "semitone", F.col("black").cast("int").alias("black"), "pos", F.round("p.x", 10).alias("x"), F.round("p.y", 10).alias("y")
     )
 
 
