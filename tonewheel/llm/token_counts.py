@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -10,8 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewheel.functions.lineage import checkpoint_dir
+from tonewheel.functions.lineage import checkpoint_dir, cut
+from tonewheel.llm.heavy import attach
 
+#: Texts given to the tokenizer at once.
+TOGETHER = 64
 SCHEMA = "text_digest string, version string, n_tokens long"
 
 
@@ -39,18 +43,25 @@ def cached_counts(docs: DataFrame, path: str, cache: str, limit: int = 2048) ->
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
+        # Spark's tasks share out the cores already
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for batch in batches:
-            counts = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in batch["text"]]
+            texts, counts = batch["text"].tolist(), []
+            for start in range(0, len(texts), TOGETHER):
+                counts += map(len, tokenizer.encode_batch_fast(texts[start : start + TOGETHER], add_special_tokens=False))
             yield pd.DataFrame({"text_digest": batch["text_digest"], "version": mark, "n_tokens": counts})
 
     digests = keyed.select("text_digest", "text").join(stored(), "text_digest", "left_anti")
     misses = digests.groupBy("text_digest").agg(F.first("text").alias("text"))
     misses.mapInPandas(encode, SCHEMA).write.mode("append").parquet(cache)
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text_digest")
-    return rows.join(stored(), "text_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    held = rows.groupBy("text_digest").agg(F.count("*").alias("copies"))
+    # one text may make up a large part of all rows
+    counted = attach(rows, cut(held.join(stored(), "text_digest")), "text_digest", "copies")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def fresh_cache(docs: DataFrame) -> str:
