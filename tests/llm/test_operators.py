@@ -47,10 +47,34 @@ def test_block_names(spark, texts):
     assert block_names.dedup(table(spark, texts).limit(0)).count() == 0
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    draw = random.Random(3)
+    for order in ("falling", "any"):
+        names = list(range(200)) if order == "rising" else list(range(200))[::-1] if order == "falling" else draw.sample(range(10_000), 200)
+        edges = spark.createDataFrame(list(zip(names, names[1:])) + [(20_000, 20_001)], "a long, b long")
+        stored = []
+        monkeypatch.setattr(signature_tree, "cut", lambda df: stored.append(1) or cut(df))
+        got = {r.node: r.component for r in signature_tree.components(edges).collect()}
+        assert got == {i: min(names) for i in names} | {20_000: 20_000, 20_001: 20_000}
+        assert len(stored) <= 2 + 2 * 12
+
+
+def test_word_hashes_follow_the_words():
+    texts = ["One two ONE", "\tone\x0b two\n\rtwo ", "é É É\u00a0é", "", " ", "a" * 5000 + " " + "A" * 5000, "x\x1fy x\x85y"]
+    seen = {}
+    for text in texts:
+        words = text.encode().lower().split()
+        hashes = signature_tree.word_hashes(text).tolist()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 @pytest.mark.parametrize("percent, n", [(90, 3), (80, 5)])
 def test_signature_tree_equals_all_pairs(spark, texts, percent, n):
     def shingled(text):
-        words = signature_tree.WORD.findall((text or "").translate(signature_tree.LOWER))
+        words = [w.decode() for w in (text or "").encode().lower().split()]
         return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
 
     sets = [shingled(t) for _, t in texts]

@@ -7,57 +7,72 @@ left as soon as no pair below it can reach the wanted overlap, or all below it i
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewheel.functions.lineage import checkpoint_dir, cut
 from tonewheel.llm.heavy import attach
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 N = 3
 BITS = 1024
 BUCKETS = 1 << 18
 BLOCK = 1024
 LEAF = 16
-WORDS_KEPT = 200_000
+#: Words are told apart by polynomials of their bytes: an odd base, its inverse, and a number for each byte, small for capitals A-Z.
+BASE = 0xC2B2AE3D27D4EB4B
+INVERSE = pow(BASE, -1, 1 << 64)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTERS = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)[np.frombuffer(bytes(range(256)).lower(), np.uint8)]
 
 
-class Hashes(dict):
-    """The hash of each word, kept for short words up to a fixed number of them."""
+class _Powers:
+    """Powers of the base and of its inverse, as many as the longest text so far has bytes."""
 
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = value
-        return value
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            step = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(BASE, step, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(INVERSE, step, 1 << 64))])
+        return self.up, self.down
 
-KNOWN = Hashes()
+
+POWERS = _Powers()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word in order, capitals A-Z as small letters, with no Python object per word."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.concatenate([[False], ~SPACE[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    first, last = edges[::2], edges[1::2]
+    up, down = POWERS.upto(len(data) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[data] * up[: len(data)], dtype=np.uint64)])
+    return _mixed((sums[last] - sums[first]) * down[first])
 
 
 def shingles(text: str, n: int = N) -> np.ndarray:
-    """The distinct n-word shingles as sorted 64-bit hashes; two shingles of one hash count as equal (odds near 1e-19 a pair)."""
-    words = WORD.findall(text.translate(LOWER))
-    if not words:
+    """The distinct n-word shingles as sorted 64-bit hashes; two shingles of one hash count as equal (odds near 1e-18 a pair)."""
+    h = word_hashes(text)
+    if not len(h):
         return np.empty(0, np.int64)
-    h = np.fromiter(map(KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for i in range(n):
-        out = (out ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
+        out = _mixed((out ^ h[i : len(h) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i))
     return np.unique(out.view(np.int64))
 
 
@@ -117,21 +132,47 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The sorted groups of a partition, each whole; every group here has a bounded number of rows."""
-    held: list[pd.DataFrame] = []
+def may_link(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets, of sizes m and n with bitmaps a and b, can share enough."""
+    return (100 * m >= (100 + percent) * _missing(a, b) + percent * n) & (100 * n >= (100 + percent) * _missing(b, a) + percent * m)
+
+
+def _whole(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of a sorted partition with every group whole, and where groups start and end. A group has a bounded number of rows."""
+    held = None
     for batch in batches:
-        if batch.empty:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if rows.empty:
             continue
-        starts = np.flatnonzero((batch[keys] != batch[keys].shift()).any(axis=1).to_numpy())
-        for a, b in zip(starts, [*starts[1:], len(batch)]):
-            part = batch.iloc[a:b]
-            if held and tuple(held[0][keys].iloc[0]) != tuple(part[keys].iloc[0]):
-                yield pd.concat(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held)
+        starts = _starts(rows, keys)
+        if len(starts) > 1:
+            yield rows.iloc[: starts[-1]], starts
+        held = rows.iloc[starts[-1] :]
+    if held is not None:
+        yield held, np.array([0, len(held)])
+
+
+def _starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows), dtype=bool)
+    for key in keys:
+        v = rows[key].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    new[0] = True
+    return np.flatnonzero(new)
+
+
+def small_pairs(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The member pairs of all groups no larger than a leaf, which are trees of one node, in one step."""
+    sizes = np.diff(edges)
+    left, right = [], []
+    for size in range(2, LEAF + 1):
+        at = edges[:-1][sizes == size]
+        if len(at):
+            i, j = np.triu_indices(size, 1)
+            left.append((at[:, None] + i).ravel())
+            right.append((at[:, None] + j).ravel())
+    none = [np.empty(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
 
 
 def _token_order(texts: DataFrame, n: int) -> np.ndarray:
@@ -152,17 +193,20 @@ def _token_order(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (the smallest node reachable) for the nodes of `edges`, by spreading minima and jumping to the
-    component's own minimum until nothing changes. Every round is stored."""
+    """node, component (the smallest node reachable) for the nodes of `edges`. In each round every edge offers its lesser label to both the node and
+    the node's label, and then every label is replaced by its own label, so a chain takes rounds by the logarithm of its length. Every round is stored."""
     both = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(edges.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")))
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        moved = cut(moved)
-        if moved.where("old != component").isEmpty():
-            return moved.drop("old")
-        labels = moved.drop("old")
+        theirs = labels.select(F.col("node").alias("other"), F.col("component").alias("offer"))
+        offers = both.join(theirs, "other").join(labels, "node").where("offer < component")
+        to = F.explode(F.array("node", "component"))
+        least = offers.select(to.alias("node"), "offer").groupBy("node").agg(F.min("offer").alias("offer"))
+        hooked = cut(labels.join(least, "node", "left").select("node", F.least("component", "offer").alias("component"), F.col("offer").isNotNull().alias("moved")))
+        if hooked.where("moved").isEmpty():
+            return labels
+        tops = hooked.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        labels = cut(hooked.join(tops, "component").select("node", F.col("top").alias("component")))
 
 
 def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
@@ -209,9 +253,9 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     blocks = texts.select("digest", "text").join(home, "digest").drop("digest").repartition("token", "part")
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _groups(batches, ["token", "part"]):
-            block = block.sort_values(["n", "node"])
-            hs, names, root = [shingles(t, n) for t in block["text"]], block["node"].to_numpy(), np.arange(len(block))
+        for rows, edges in _whole(batches, ["token", "part"]):
+            hs, sizes, names = [shingles(t, n) for t in rows["text"]], rows["n"].to_numpy(), rows["node"].to_numpy()
+            maps, root = np.stack([bitmap(h) for h in hs]), np.arange(len(rows))
 
             def find(i: int) -> int:
                 while root[i] != i:
@@ -219,11 +263,20 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
                     i = root[i]
                 return i
 
-            tree = Tree(block["n"].to_numpy(), np.stack([bitmap(h) for h in hs]), np.arange(len(hs)))
-            for left, right in walk(tree, tree, percent):
-                for i, j in zip(left, right):
-                    if i < j and find(i) != find(j) and linked(hs[i], hs[j], percent):
+            def connect(left: np.ndarray, right: np.ndarray) -> None:
+                for i, j in zip(left.tolist(), right.tolist()):
+                    if find(i) != find(j) and linked(hs[i], hs[j], percent):
                         root[max(find(i), find(j))] = min(find(i), find(j))
+
+            i, j = small_pairs(edges)
+            ok = may_link(sizes[i], sizes[j], maps[i], maps[j], percent)
+            connect(i[ok], j[ok])
+            for start, end in zip(edges[:-1], edges[1:]):
+                if end - start > LEAF:
+                    at = start + np.lexsort((names[start:end], sizes[start:end]))
+                    tree = Tree(sizes[at], maps[at], np.arange(len(at)))
+                    for left, right in walk(tree, tree, percent):
+                        connect(at[left[left < right]], at[right[left < right]])
             tops = np.array([find(i) for i in range(len(hs))])
             at = np.flatnonzero(tops != np.arange(len(hs)))
             if len(at):
@@ -243,24 +296,34 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     spread = spread.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("members", "other")
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _groups(batches, ["token", "lo", "hi"]):
-            block = block.sort_values(["component", "n", "node"])
-            group = pd.factorize(block["component"])[0].astype(np.int64)
-            maps = np.stack([np.frombuffer(m, dtype=np.uint64) for m in block["map"]])
-            sides = [np.flatnonzero(block["mine"] == side) for side in sorted({block["lo"].iloc[0], block["hi"].iloc[0]})]
-            if any(len(s) == 0 for s in sides):
-                continue
-            trees = [Tree(block["n"].to_numpy()[s], maps[s], group[s]) for s in sides]
-            names, comps = block["node"].to_numpy(), block["component"].to_numpy()
-            for left, right in walk(trees[0], trees[-1], percent):
-                i, j = sides[0][left], sides[-1][right]
-                low = names[i] < names[j]
-                if len(sides) == 1:
-                    i, j, low = i[low], j[low], low[low]
-                i, j = np.where(low, i, j), np.where(low, j, i)
+        for rows, edges in _whole(batches, ["token", "lo", "hi"]):
+            names, comps, sizes, mine = (rows[c].to_numpy() for c in ("node", "component", "n", "mine"))
+            maps = np.frombuffer(b"".join(rows["map"]), np.uint64).reshape(len(rows), -1)
+            one = (rows["lo"] == rows["hi"]).to_numpy()
+
+            def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pd.DataFrame]:
                 if len(i):
+                    swap = names[i] > names[j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
                     yield pd.DataFrame({"a": names[i], "b": names[j], "ca": comps[i], "cb": comps[j]})
 
+            i, j = small_pairs(edges)
+            apart = (comps[i] != comps[j]) & (one[i] | (mine[i] != mine[j]))
+            i, j = i[apart], j[apart]
+            ok = may_link(sizes[i], sizes[j], maps[i], maps[j], percent)
+            yield from pairs(i[ok], j[ok])
+            for start, end in zip(edges[:-1], edges[1:]):
+                if end - start > LEAF:
+                    at = start + np.lexsort((names[start:end], sizes[start:end], comps[start:end]))
+                    group = np.unique(comps[at], return_inverse=True)[1]
+                    sides = [np.flatnonzero(mine[at] == side) for side in np.unique([rows["lo"].iloc[start], rows["hi"].iloc[start]])]
+                    if all(len(s) for s in sides):
+                        trees = [Tree(sizes[at[s]], maps[at[s]], group[s]) for s in sides]
+                        for left, right in walk(trees[0], trees[-1], percent):
+                            i, j = at[sides[0][left]], at[sides[-1][right]]
+                            keep = (names[i] < names[j]) if len(sides) == 1 else np.ones(len(i), bool)
+                            yield from pairs(i[keep], j[keep])
+
     keys = ["token", "lo", "hi"]
     pairs = spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(across, "a long, b long, ca long, cb long")
     pairs = cut(pairs.distinct())
