@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,28 +30,45 @@ def stem(path) -> Column:
     return F.regexp_extract(col(path), r"([^/]*)\.[^./]*$", 1)
 
 
+def folder(path) -> Column:
+    return F.regexp_extract(col(path), r"^(.*)/[^/]*$", 1)
+
+
 def pair_with_images(sidecars: DataFrame, images: DataFrame) -> DataFrame:
-    """A1: sidecars whose image of the same stem exists."""
-    pictured = images.where(F.lower("path").endswith(".png")).select(stem("path").alias("stem"))
-    return sidecars.withColumn("stem", stem("path")).join(pictured, "stem", "left_semi")
+    """A1: sidecars whose image of the same stem lies in the same directory."""
+    pictured = images.where(F.lower("path").endswith(".png")).select(folder("path").alias("_folder"), stem("path").alias("stem"))
+    return sidecars.withColumns({"_folder": folder("path"), "stem": stem("path")}).join(pictured, ["_folder", "stem"], "left_semi").drop("_folder")
+
 
+def existing(spark: SparkSession, directories: str | list[str]) -> list[str]:
+    """Those of the directories that the cluster's file system has."""
+    names = [directories] if isinstance(directories, str) else list(directories)
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(name) for name in names]
+    return [name for name, path in zip(names, paths) if path.getFileSystem(conf).exists(path)]
 
-def read_texts(spark: SparkSession, directory: str) -> DataFrame:
-    if "://" not in directory and not os.path.isdir(directory):
+
+def read_texts(spark: SparkSession, directories: str | list[str]) -> DataFrame:
+    found = existing(spark, directories)
+    if not found:
         return spark.createDataFrame([], "path string, text string")
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(directory)
+        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(found)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )
 
 
-def read_sidecars(spark: SparkSession, directory: str) -> DataFrame:
-    """A1: a directory's sidecars as (stem, path, text); a missing directory gives an empty table."""
-    texts = read_texts(spark, directory)
-    if "://" not in directory and not os.path.isdir(directory):
+def read_sidecars(spark: SparkSession, directories: str | list[str]) -> DataFrame:
+    """A1: the sidecars of one or more directories as (stem, path, text), in no order; an absent directory has none.
+
+    Directories lie on any file system that Spark reads. Equal stems of different directories stay apart.
+    """
+    texts, found = read_texts(spark, directories), existing(spark, directories)
+    if not found:
         return texts.withColumn("stem", F.lit("")).select("stem", "path", "text")
-    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(directory).select("path")
-    return pair_with_images(texts, images).select("stem", "path", "text").orderBy("stem")
+    # only the names of the images are read
+    images = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(found).select("path")
+    return pair_with_images(texts, images).select("stem", "path", "text")
 
 
 def _kind(v: Column) -> Column:

@@ -59,10 +59,18 @@ def score_json(scores: DataFrame) -> DataFrame:
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
+    """H5: one line per entry. Spark's committer moves a task's file in place once it is whole, so a failed or repeated task leaves
+    nothing behind; `path` must be new."""
     docs = score_json(scores)
     docs.select(F.concat(F.to_json(F.struct("entry")), F.lit("\t"), "json")).write.text(path)
 
 
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The written (entry, json)."""
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select(F.from_json(parts[0], "entry string")["entry"].alias("entry"), parts[1].alias("json"))
+
+
 def keys_lines(frames: DataFrame) -> DataFrame:
     """H6: one JSON line per frame beside its clip."""
     fields = [c for c in frames.columns if c != "clip_id"]
@@ -70,9 +78,33 @@ def keys_lines(frames: DataFrame) -> DataFrame:
 
 
 def write_keys_jsonl(frames: DataFrame, path: str) -> None:
-    keys_lines(frames).repartition("clip_id").sortWithinPartitions("clip_id", "frame").select("clip_id", "line").write.partitionBy("clip_id").text(path)
+    """H6: a folder of line files per clip, frames in order within a file and from file to file. A long clip spreads over
+    tasks; files are committed as those of `write_scores`."""
+    lines = keys_lines(frames).repartitionByRange("clip_id", "frame").sortWithinPartitions("clip_id", "frame")
+    lines.select("clip_id", "line").write.partitionBy("clip_id").text(path)
+
 
+RECEIPTS = "run string, batch bigint"
 
-def deliver(batches: DataFrame, send) -> None:
-    """H7: hands each body to the caller's `send(body)` from the tasks."""
-    batches.select("body").foreachPartition(lambda rows: [send(r["body"]) for r in rows])
+
+def deliver(batches: DataFrame, send, receipts: str) -> int:
+    """H7: hands each body to the caller's `send(key, body)` from the tasks; how many were sent.
+
+    `receipts` is a Parquet folder of the (run, batch) already sent, which are left out; those sent now are added when their
+    task ends well. A task that fails midway is run again with all of its bodies, so `key`, run and batch, lets the receiver drop
+    what it has.
+    """
+    spark = batches.sparkSession
+    spark.createDataFrame([], RECEIPTS).write.mode("append").parquet(receipts)
+    done = spark.read.schema(RECEIPTS).parquet(receipts)
+    before = done.count()
+
+    def run(frames):
+        for frame in frames:
+            for run_, batch, body in zip(frame["run"], frame["batch"], frame["body"]):
+                send(f"{run_}/{batch}", body)
+            yield frame[["run", "batch"]]
+
+    fresh = batches.select("run", F.col("batch").cast("bigint").alias("batch"), "body").join(done, ["run", "batch"], "left_anti")
+    fresh.mapInPandas(run, RECEIPTS).write.mode("append").parquet(receipts)
+    return spark.read.schema(RECEIPTS).parquet(receipts).count() - before
