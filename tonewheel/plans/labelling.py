@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from tonewheel.functions import geometry as G
 from tonewheel.operators import evaluate, labels
 from tonewheel.plans.detection import QUAD_SUMS, quads
-from tonewheel.plans.ingest import SHAPE
 from tonewheel.plans.registry import query, r6
 from tonewheel.sources.fixtures import view
 
@@ -233,25 +232,33 @@ def b14(spark, sf):
     return f.select("frame_id", r6(G.at("m", 0)).alias("m0"), r6(G.at("m", 4)).alias("m4"))
 
 
-def good_quads(spark, sf):
-    q = quads(spark, sf).where(G.quad_reason(G.quad_shape("quad")) == "")
-    return q.withColumn("quad", F.transform("quad", lambda p: G.point(p["x"] * 640.0, p["y"] * 480.0)))
+# a quad's homography from the unit square by its closed form; without one the crop is NULL
+CROP_SQL = """
+px AS (SELECT frame_id, CASE WHEN frame_id % 29 = 0 THEN x0 ELSE x1 END * 64e1 AS x1, CASE WHEN frame_id % 29 = 0 THEN y0 ELSE y1 END * 48e1 AS y1, CASE WHEN frame_id % 29 = 0 THEN x0 ELSE x2 END * 64e1 AS x2,
+ CASE WHEN frame_id % 29 = 0 THEN y0 ELSE y2 END * 48e1 AS y2, x3 * 64e1 AS x3, y3 * 48e1 AS y3, x0 * 64e1 AS x0, y0 * 48e1 AS y0 FROM fx_quads),
+ab AS (SELECT *, x1 - x2 AS ax, x3 - x2 AS bx, x0 - x1 + x2 - x3 AS sx, y1 - y2 AS ay, y3 - y2 AS by_, y0 - y1 + y2 - y3 AS sy, (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS det FROM px),
+gh AS (SELECT *, CASE WHEN det <> 0 THEN (sx * by_ - bx * sy) / det END AS g, CASE WHEN det <> 0 THEN (ax * sy - sx * ay) / det END AS h FROM ab),
+hs AS (SELECT *, x1 - x0 + g * x1 AS h0, x3 - x0 + h * x3 AS h1, y1 - y0 + g * y1 AS h3, y3 - y0 + h * y3 AS h4 FROM gh),
+cropped_quads AS (SELECT frame_id, coalesce(abs(h0 * (h4 - y0 * h) + h1 * (y0 * g - h3) + x0 * (h3 * h - h4 * g)) > 1e-12, false) AS sound FROM hs)"""
 
 
 @query(
     "b15_rectified_crop",
     ("fx_quads",),
-    """SELECT frame_id, pos, round(CASE WHEN pos IN (0, 3) THEN 768e0 * 8e-2 / 116e-2 ELSE 768e0 - 768e0 * 8e-2 / 116e-2 END, 6) AS x,
- round(CASE WHEN pos <= 1 THEN 16e1 * 15e-2 / 13e-1 ELSE 16e1 - 16e1 * 15e-2 / 13e-1 END, 6) AS y
-FROM shape CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS pos) p WHERE reason = ''""",
-    SHAPE,
+    """SELECT frame_id, pos, CASE WHEN sound THEN round(CASE WHEN pos IN (0, 3) THEN 768e0 * 8e-2 / 116e-2 ELSE 768e0 - 768e0 * 8e-2 / 116e-2 END, 4) END AS x,
+ CASE WHEN sound THEN round(CASE WHEN pos <= 1 THEN 16e1 * 15e-2 / 13e-1 ELSE 16e1 - 16e1 * 15e-2 / 13e-1 END, 4) END AS y
+FROM cropped_quads CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS pos) p""",
+    CROP_SQL,
 )
 def b15(spark, sf):
-    """Each usable quad's corners through its own crop, which must land them on the rectangle."""
-    q = good_quads(spark, sf).withColumn("to_crop", labels.rectified_crop("quad"))
+    """Each quad's corners through its own crop, which must land them on the rectangle; some quads have two edges of no length."""
+    q = quads(spark, sf).withColumn("quad", F.transform("quad", lambda p: G.point(p["x"] * 640.0, p["y"] * 480.0)))
+    first = G.at("quad", 0)
+    flat = F.transform("quad", lambda p, i: F.when(i < 3, first).otherwise(p))
+    q = q.withColumn("quad", F.when(F.col("frame_id") % 29 == 0, flat).otherwise(F.col("quad"))).withColumn("to_crop", labels.rectified_crop("quad"))
     met = q.select("frame_id", "to_crop", F.posexplode("quad").alias("pos", "p"))
     x, y = G.project("to_crop", "p.x", "p.y")
-    return met.select("frame_id", "pos", r6(x).alias("x"), r6(y).alias("y"))
+    return met.select("frame_id", "pos", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
 @query(
