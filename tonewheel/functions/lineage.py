@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _scratch()
+    """The shared folder the cluster names. Where none is named a local session takes a temporary one; a cluster's machines
+    would each write to their own disk, so there it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return named or _scratch()
 
 
 @functools.cache

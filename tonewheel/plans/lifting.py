@@ -89,14 +89,15 @@ def e21(spark, sf):
 
 
 PREFILL = """
-tp AS (SELECT t.*, p.channel, p.ord, (h0*p.x + h1*p.y + h2) / (h6*p.x + h7*p.y + h8) * width AS px, (h3*p.x + h4*p.y + h5) / (h6*p.x + h7*p.y + h8) * height AS py,
+tp AS MATERIALIZED (SELECT t.*, p.channel, p.ord, (h0*p.x + h1*p.y + h2) / (h6*p.x + h7*p.y + h8) * width AS px, (h3*p.x + h4*p.y + h5) / (h6*p.x + h7*p.y + h8) * height AS py,
  (h0*p.x + h2 + lift0) / (h6*p.x + h8 + lift2) * width AS lx, (h3*p.x + h5 + lift1) / (h6*p.x + h8 + lift2) * height AS ly,
  sqrt((((h0 + h1 + h2) / (h6 + h7 + h8) - (h1 + h2) / (h7 + h8)) * width)**2 + (((h3 + h4 + h5) / (h6 + h7 + h8) - (h4 + h5) / (h7 + h8)) * height)**2) AS kw
  FROM fx_truth t JOIN fx_template p ON t.white_keys = p.white_keys AND t.phase = p.phase),
-want AS (SELECT frame_id, channel + 2 AS channel, ord, px AS x, py AS y, kw, 0 AS keep FROM tp WHERE channel IN (5, 6)
+want AS MATERIALIZED (SELECT frame_id, channel + 2 AS channel, ord, px AS x, py AS y, kw, 0 AS keep FROM tp WHERE channel IN (5, 6)
  UNION ALL SELECT frame_id, channel + 5, ord, CASE WHEN frame_id % 4 <> 0 THEN lx END, CASE WHEN frame_id % 4 <> 0 THEN ly END, kw, 1 FROM tp WHERE channel IN (5, 6)),
-cands AS (SELECT w.frame_id, w.channel, w.ord, p.x * p.width AS fx, p.y * p.height AS fy, row_number() OVER (PARTITION BY w.frame_id, w.channel, w.ord ORDER BY sqrt((p.x * p.width - w.x)**2 + (p.y * p.height - w.y)**2), p.ord DESC) AS rn
- FROM want w JOIN fx_fit_peaks p ON p.frame_id = w.frame_id AND p.channel = w.channel AND sqrt((p.x * p.width - w.x)**2 + (p.y * p.height - w.y)**2) <= w.kw)"""
+tops AS MATERIALIZED (SELECT frame_id, channel, ord, x * width AS fx, y * height AS fy FROM fx_fit_peaks WHERE channel IN (7, 8, 10, 11)),
+met AS (SELECT w.frame_id, w.channel, w.ord, w.kw, p.fx, p.fy, p.ord AS po, sqrt((p.fx - w.x)**2 + (p.fy - w.y)**2) AS d FROM want w JOIN tops p ON p.frame_id = w.frame_id AND p.channel = w.channel),
+cands AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame_id, channel, ord ORDER BY d, po DESC) AS rn FROM met WHERE d <= kw)"""
 
 
 @query(
