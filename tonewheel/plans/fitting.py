@@ -53,7 +53,46 @@ def e1(spark, sf):
     return plan.select("frame_id", "cand", "white_keys", "phase", "shift", F.col("prior_inverse").isNotNull().cast("int").alias("prior"))
 
 
-@query("e2_x_estimator")
+def _det3_sql(rows) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _estimator_sql() -> str:
+    """Four corners by the inverse of their homography, three by Cramer's rule."""
+    normal, rhs = [["xx", "xy", "sx"], ["xy", "yy", "sy"], ["sx", "sy", "m"]], ["bx", "by_", "b"]
+    det = _det3_sql(normal)
+    affine = [f"CASE WHEN m >= 3 AND {det} <> 0 THEN {_det3_sql([[rhs[r] if c == k else normal[r][c] for c in range(3)] for r in range(3)])} / {det} END" for k in range(3)]
+    affine += [f"CASE WHEN m >= 3 AND {det} <> 0 THEN {v} END" for v in ("0e0", "0e0", "1e0")]
+    exact = [f"CASE WHEN abs(hdet) > 1e-12 THEN ({v}) / hdet END" for v in (
+        "h4 - h5 * h7", "h2 * h7 - h1", "h1 * h5 - h2 * h4", "h3 * h7 - h4 * h6", "h1 * h6 - h0 * h7", "h0 * h4 - h1 * h3")]
+    sums = {"xx": "x{i} * x{i}", "xy": "x{i} * y{i}", "sx": "x{i}", "yy": "y{i} * y{i}", "sy": "y{i}", "m": "1e0", "bx": "x{i} * t{i}", "by_": "y{i} * t{i}", "b": "t{i}"}
+    each = ", ".join(" + ".join(f"CASE WHEN x{i} IS NOT NULL THEN {t.format(i=i)} ELSE 0e0 END" for i in range(4)) + f" AS {k}" for k, t in sums.items())
+    corner = ", ".join(f"max(CASE WHEN channel = {c} THEN {v} END) AS c{c}{v}" for c in range(4) for v in "xy")
+    return f"""
+crow AS (SELECT frame_id, {corner}, count(CASE WHEN channel = 4 THEN 1 END) AS n_gaps, count(CASE WHEN channel IN (5, 6) THEN 1 END) AS n_blacks, count(CASE WHEN channel <= 3 THEN 1 END) AS n_corners
+ FROM fx_fit_peaks GROUP BY 1),
+fronts AS (SELECT frame_id, e, CASE WHEN e = 0 THEN c3x ELSE c2x END AS fx, CASE WHEN e = 0 THEN c3y ELSE c2y END AS fy FROM crow CROSS JOIN (SELECT unnest([0, 1]) AS e) s
+ WHERE c2x IS NOT NULL AND c3x IS NOT NULL AND (c0x IS NULL OR c1x IS NULL) AND n_gaps >= 6 AND n_blacks >= 6),
+near_gaps AS MATERIALIZED (SELECT * FROM (SELECT f.frame_id, f.e, g.x AS gx, g.y AS gy, row_number() OVER (PARTITION BY f.frame_id, f.e ORDER BY sqrt((g.x - fx)**2 + (g.y - fy)**2), g.ord) AS k
+ FROM fronts f JOIN fx_fit_peaks g ON g.frame_id = f.frame_id AND g.channel = 4) r WHERE k <= 4),
+behind AS (SELECT frame_id, e, avg(ox / (1e0 - 62e-2)) AS ux, avg(oy / (1e0 - 62e-2)) AS uy FROM (
+ SELECT n.frame_id, n.e, n.k, b.x - gx AS ox, b.y - gy AS oy, row_number() OVER (PARTITION BY n.frame_id, n.e, n.k ORDER BY sqrt((b.x - gx)**2 + (b.y - gy)**2), b.channel, b.ord) AS r
+ FROM near_gaps n JOIN fx_fit_peaks b ON b.frame_id = n.frame_id AND b.channel IN (5, 6)) o WHERE r = 1 GROUP BY 1, 2),
+filled AS (SELECT c.frame_id, coalesce(c0x, c3x + l.ux) AS x0, coalesce(c0y, c3y + l.uy) AS y0, coalesce(c1x, c2x + h.ux) AS x1, coalesce(c1y, c2y + h.uy) AS y1, c2x AS x2, c2y AS y2, c3x AS x3, c3y AS y3
+ FROM crow c LEFT JOIN behind l ON l.frame_id = c.frame_id AND l.e = 0 LEFT JOIN behind h ON h.frame_id = c.frame_id AND h.e = 1 WHERE n_corners > 0),
+onboard AS (SELECT f.*, t.white_keys, t.phase, CAST(t.white_keys AS DOUBLE) AS n, 0e0 AS t0, CAST(t.white_keys AS DOUBLE) AS t1, CAST(t.white_keys AS DOUBLE) AS t2, 0e0 AS t3,
+ (x1 - x2) * (y3 - y2) - (x3 - x2) * (y1 - y2) AS det, x0 - x1 + x2 - x3 AS qx, y0 - y1 + y2 - y3 AS qy FROM filled f JOIN fx_truth t ON t.frame_id = f.frame_id),
+gh AS (SELECT *, {each}, CASE WHEN det <> 0 THEN (qx * (y3 - y2) - (x3 - x2) * qy) / det END AS g, CASE WHEN det <> 0 THEN ((x1 - x2) * qy - qx * (y1 - y2)) / det END AS h7 FROM onboard),
+hom AS (SELECT *, (x1 - x0 + g * x1) / n AS h0, x3 - x0 + h7 * x3 AS h1, x0 AS h2, (y1 - y0 + g * y1) / n AS h3, y3 - y0 + h7 * y3 AS h4, y0 AS h5, g / n AS h6 FROM gh),
+solved AS (SELECT *, h0 * (h4 - h5 * h7) + h1 * (h5 * h6 - h3) + h2 * (h3 * h7 - h4 * h6) AS hdet FROM hom),
+estimated AS (SELECT frame_id, white_keys, phase, {", ".join(f"coalesce({x}, {f}) AS e{i}" for i, (x, f) in enumerate(zip(exact, affine)))} FROM solved)"""
+
+
+@query(
+    "e2_x_estimator", ("fx_truth", "fx_fit_peaks"),
+    "SELECT frame_id, white_keys, phase, " + ", ".join(f"round(e{i}, 4) AS e{i}" for i in range(6)) + " FROM estimated", _estimator_sql(),
+)
 def e2(spark, sf):
     plan = corner_plan(spark, sf)
     corners = fit.complete_corners(peaks(spark, sf))
