@@ -16,7 +16,6 @@ from tonewheel.functions.geometry import at, col, div, js_round, point
 from tonewheel.functions.lineage import cut, spread
 from tonewheel.functions.quantiles import quantiles_of_few
 from tonewheel.functions.scans import Running, numbered, running
-from tonewheel.functions.walk import walk
 from tonewheel.operators import dims
 
 # Fixed values of the fit.
@@ -184,54 +183,31 @@ def edge_gaps(peaks: DataFrame) -> DataFrame:
     ).drop("_near")
 
 
-def _step_visit(state, key, rows):
-    """Walks the edge, counting keys by a spacing that drifts with the view."""
-    import math
-
-    state = state or {"first": [], "spacing": None}
-    made = []
-
-    def js(v):
-        return math.floor(v + 0.5)
-
-    def advance(t):
-        if state["spacing"] is None:
-            state["first"].append(t)
-            if len(state["first"]) <= FIRST_STEPS:
-                return
-            steps = sorted(b - a for a, b in zip(state["first"], state["first"][1:]))
-            state["spacing"] = steps[len(steps) // 2]
-            if state["spacing"] <= 0:
-                return
-            state["index"] = max(js(state["first"][0] / state["spacing"]), 1)
-            state["last"], state["step"] = state["first"][0], 0
-            made.append((*key, 0, state["last"], float(state["index"])))
-            for earlier in state["first"][1:]:
-                follow(earlier)
-        elif state["spacing"] > 0:
-            follow(t)
-
-    def follow(t):
-        step = t - state["last"]
-        if step < SHORTEST_STEP * state["spacing"]:
-            return
-        keys = max(js(step / state["spacing"]), 1)
-        state["index"] += keys
-        state["spacing"] = (state["spacing"] + step / keys) / 2
-        state["last"] = t
-        state["step"] += 1
-        made.append((*key, state["step"], t, float(state["index"])))
-
-    for row in rows:
-        advance(row["t"])
-    return state, made
-
-
 def step_along(edge: DataFrame) -> DataFrame:
-    """The walk's counted steps, the first half of them, which drifts least."""
-    steps = walk(edge.select("frame_id", "t"), ["frame_id"], ["t"], _step_visit, "frame_id bigint, step int, t double, index double")
-    totals = steps.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n"))
-    return steps.join(totals, "frame_id").where(F.col("step") < F.ceil(F.col("_n") / 2)).select("frame_id", "t", "index")
+    """A walk along the edge that counts keys by a spacing drifting with the view; its first half, which drifts least.
+
+    A frame's gaps, bounded by its score grid, are one sorted array that the walk folds over.
+    """
+    def follow(state, t):
+        step = t - state["last"]
+        keys = F.greatest(js_round(div(step, state["spacing"])), F.lit(1)).cast("double")
+        index = state["index"] + keys
+        taken = F.struct(
+            ((state["spacing"] + step / keys) / 2.0).alias("spacing"), t.alias("last"), index.alias("index"),
+            F.concat(state["steps"], F.array(F.struct(t.alias("t"), index.alias("index")))).alias("steps"),
+        )
+        return F.when(step < state["spacing"] * SHORTEST_STEP, state).otherwise(taken)
+
+    gaps = edge.groupBy("frame_id").agg(F.sort_array(F.collect_list("t")).alias("_t")).where(F.size("_t") > FIRST_STEPS)
+    between = F.transform(F.sequence(F.lit(1), F.lit(FIRST_STEPS)), lambda i: F.get("_t", i) - F.get("_t", i - 1))
+    started = gaps.withColumn("_spacing", at(F.array_sort(between), FIRST_STEPS // 2)).where("_spacing > 0")
+    index = F.greatest(js_round(at("_t", 0) / F.col("_spacing")), F.lit(1)).cast("double")
+    first = F.struct(
+        F.col("_spacing").alias("spacing"), at("_t", 0).alias("last"), index.alias("index"), F.array(F.struct(at("_t", 0).alias("t"), index.alias("index"))).alias("steps")
+    )
+    walked = started.select("frame_id", F.aggregate(F.slice("_t", 2, F.size("_t")), first, follow, lambda state: state["steps"]).alias("_s"))
+    half = F.ceil(F.size("_s") / 2).cast("int")
+    return walked.select("frame_id", F.explode(F.slice("_s", 1, half)).alias("_s")).select("frame_id", "_s.t", "_s.index")
 
 
 def edge_maps(points: DataFrame, keys: list[str]) -> DataFrame:

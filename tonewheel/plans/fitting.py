@@ -100,7 +100,52 @@ def e2(spark, sf):
     return est.select("frame_id", "white_keys", "phase", *[F.round(G.at("est", i), 4).alias(f"e{i}") for i in range(6)])
 
 
-@query("e3_count_gaps")
+def _map_sql(name: str, source: str) -> str:
+    """The projective map from key index to place on the edge, from the points of `source`."""
+    rows = [["a", "b", "c"], ["b", "d", "e"], ["c", "e", "f"]]
+    rhs = ["u", "v", "w"]
+    det = _det3_sql(rows)
+    p, q, r = (f"{_det3_sql([[rhs[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)])} / {det}" for k in range(3))
+    return f"""{name}_sums AS (SELECT frame_id, white_keys, start, CAST(count(*) AS DOUBLE) AS n, CAST(white_keys AS DOUBLE) AS k, sum(i * i) AS ii, sum(i) AS si, sum(i * i * t) AS iit, sum(i * t) AS it, sum(i * i * t * t) AS iitt,
+ sum(t) AS st, sum(i * t * t) AS itt FROM {source} GROUP BY 1, 2, 3 HAVING count(*) >= 6),
+{name}_m AS (SELECT frame_id, white_keys, start, ii + n * k * k AS a, si + n * k AS b, -iit - n * k * k AS c, n * 3e0 AS d, -it - n * k AS e, iitt + n * k * k AS f, it + n * k AS u, st + n AS v, -itt - n * k AS w FROM {name}_sums),
+{name} AS MATERIALIZED (SELECT frame_id, white_keys, start, {p} AS p, {q} AS q, {r} AS r FROM {name}_m WHERE {det} <> 0)"""
+
+
+def _numbered_sql(name: str, maps: str) -> str:
+    return f"""{name}_at AS (SELECT m.frame_id, m.white_keys, m.start, g.ord, g.t, (g.t - q) / (p - r * g.t) AS exact FROM {maps} m JOIN edge g ON g.frame_id = m.frame_id WHERE p - r * g.t <> 0),
+{name} AS MATERIALIZED (SELECT *, floor(exact + 5e-1) AS i, abs(exact - floor(exact + 5e-1)) AS error FROM {name}_at
+ WHERE floor(exact + 5e-1) >= 1 AND floor(exact + 5e-1) < white_keys AND abs(exact - floor(exact + 5e-1)) < 3e-1)"""
+
+
+COUNTED = _estimator_sql() + """,
+placed AS (SELECT p.frame_id, p.ord, p.x, p.y, ((p.x - c3x) * (c2x - c3x) + (p.y - c3y) * (c2y - c3y)) / ((c2x - c3x)**2 + (c2y - c3y)**2) AS t,
+ abs((p.x - c3x) * (c2y - c3y) - (p.y - c3y) * (c2x - c3x)) / sqrt((c2x - c3x)**2 + (c2y - c3y)**2) AS off, sqrt((c2x - c3x)**2 + (c2y - c3y)**2) AS len
+ FROM fx_fit_peaks p JOIN crow c ON c.frame_id = p.frame_id WHERE p.channel = 4 AND c2x IS NOT NULL AND c3x IS NOT NULL),
+edge AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY frame_id) AS n_edge FROM placed WHERE off < len * 3e-2 AND t > 0 AND t < 1) e WHERE n_edge >= 6),
+lists AS MATERIALIZED (SELECT frame_id, list_sort(list(t)) AS ts FROM edge GROUP BY 1),
+spaced AS (SELECT frame_id, ts, list_sort([ts[2] - ts[1], ts[3] - ts[2], ts[4] - ts[3], ts[5] - ts[4], ts[6] - ts[5]])[3] AS s FROM lists),
+steps AS (SELECT frame_id, CAST(1 AS BIGINT) AS pos, ts, s AS spacing, ts[1] AS last, greatest(floor(ts[1] / s + 5e-1), 1e0) AS i, 1 AS took FROM spaced WHERE s > 0 /*recursive*/
+ UNION ALL SELECT frame_id, pos + 1, ts, CASE WHEN ts[pos + 1] - last < 6e-1 * spacing THEN spacing ELSE (spacing + (ts[pos + 1] - last) / greatest(floor((ts[pos + 1] - last) / spacing + 5e-1), 1e0)) / 2e0 END,
+  CASE WHEN ts[pos + 1] - last < 6e-1 * spacing THEN last ELSE ts[pos + 1] END,
+  CASE WHEN ts[pos + 1] - last < 6e-1 * spacing THEN i ELSE i + greatest(floor((ts[pos + 1] - last) / spacing + 5e-1), 1e0) END, CASE WHEN ts[pos + 1] - last < 6e-1 * spacing THEN 0 ELSE 1 END
+ FROM steps WHERE pos < len(ts)),
+taken AS (SELECT frame_id, last AS t, i, row_number() OVER (PARTITION BY frame_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY frame_id) AS n FROM steps WHERE took = 1),
+guesses AS (SELECT e.frame_id, s.white_keys, e.t, (e0 * e.x + e1 * e.y + e2) / (e3 * e.x + e4 * e.y + e5) AS g FROM edge e JOIN estimated s ON s.frame_id = e.frame_id WHERE e0 IS NOT NULL),
+started AS (SELECT k.frame_id, s.white_keys, 0 AS start, k.t, k.i FROM taken k JOIN estimated s ON s.frame_id = k.frame_id WHERE k.k < ceil(k.n / 2e0)
+ UNION ALL SELECT frame_id, white_keys, 1, t, floor(g + 5e-1) FROM guesses WHERE abs(g - floor(g + 5e-1)) < 3e-1),
+""" + ",\n".join([
+    _map_sql("map_one", "started"), _numbered_sql("one", "map_one"), _map_sql("map_two", "one"), _numbered_sql("two", "map_two"),
+]) + """,
+kept AS (SELECT * FROM two UNION ALL SELECT o.* FROM one o WHERE NOT EXISTS (SELECT 1 FROM map_two m WHERE m.frame_id = o.frame_id AND m.start = o.start)),
+best AS (SELECT frame_id, start FROM (SELECT frame_id, start, row_number() OVER (PARTITION BY frame_id ORDER BY count(*) DESC, avg(error), start) AS r FROM kept GROUP BY 1, 2) b WHERE r = 1)"""
+
+
+@query(
+    "e3_count_gaps", ("fx_truth", "fx_fit_peaks"),
+    """SELECT k.frame_id, k.white_keys, t.phase, k.ord, CAST(k.i AS INT) AS "index" FROM kept k JOIN best b ON b.frame_id = k.frame_id AND b.start = k.start JOIN fx_truth t ON t.frame_id = k.frame_id""",
+    COUNTED,
+)
 def e3(spark, sf):
     plan = corner_plan(spark, sf)
     corners = fit.complete_corners(peaks(spark, sf))
