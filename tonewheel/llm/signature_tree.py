@@ -20,6 +20,10 @@ from tonewheel.llm.heavy import attach
 
 N = 3
 BITS = 1024
+#: A wider bitmap, kept once for each set, that leaves few pairs to be compared by their texts.
+WIDE = 4096
+#: Tokens by which a pair that met before is known.
+EARLY = 32
 BUCKETS = 1 << 18
 BLOCK = 1024
 LEAF = 16
@@ -76,9 +80,9 @@ def shingles(text: str, n: int = N) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[h % BITS] = 1
+def bitmap(h: np.ndarray, width: int = BITS) -> np.ndarray:
+    bits = np.zeros(width, dtype=np.uint8)
+    bits[h % width] = 1
     return np.packbits(bits).view(np.uint64)
 
 
@@ -230,14 +234,14 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     texts = spark.table(stored)
     weight = _token_order(texts, n)
 
-    @F.pandas_udf("n long, map binary, prefix array<long>")
+    @F.pandas_udf("n long, map binary, wide binary, prefix array<long>")
     def describe(batch: pd.Series) -> pd.DataFrame:
         def of(t):
             h = shingles(t, n)
             most = len(h) - -(-percent * len(h) // 100) + 1 if len(h) else 0
-            return len(h), bitmap(h).tobytes(), h[np.lexsort((h, weight[h % BUCKETS]))[:most]]
+            return len(h), bitmap(h).tobytes(), bitmap(h, WIDE).tobytes(), h[np.lexsort((h, weight[h % BUCKETS]))[:most]]
 
-        return pd.DataFrame([of(t) for t in batch], columns=["n", "map", "prefix"])
+        return pd.DataFrame([of(t) for t in batch], columns=["n", "map", "wide", "prefix"])
 
     described = texts.select("node", "digest", "least", "copies", describe("text").alias("d"))
     sets = cut(described.select("node", "digest", "least", "copies", "d.*"))
@@ -289,7 +293,8 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     members = cut(met.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
     mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
     open_rows = cut(members.join(mixed, "token"))
-    signed = cut(sets.select("node", "n", "map").join(cut(open_rows.select("node").distinct()), "node"))
+    early = open_rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("token")), 1, EARLY).alias("early"))
+    signed = cut(sets.select("node", "n", "map").join(cut(early), "node"))
     parts = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), parts).cast("int")
     spread = open_rows.join(signed, "node").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
@@ -297,11 +302,20 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
 
     def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, edges in _whole(batches, ["token", "lo", "hi"]):
-            names, comps, sizes, mine = (rows[c].to_numpy() for c in ("node", "component", "n", "mine"))
+            names, comps, sizes, mine, token, early = (rows[c].to_numpy() for c in ("node", "component", "n", "mine", "token", "early"))
             maps = np.frombuffer(b"".join(rows["map"]), np.uint64).reshape(len(rows), -1)
             one = (rows["lo"] == rows["hi"]).to_numpy()
+            before: dict[int, frozenset] = {}
+
+            def earlier(i: int) -> frozenset:
+                if i not in before:
+                    before[i] = frozenset(t for t in early[i].tolist() if t < token[i])
+                return before[i]
 
             def pairs(i: np.ndarray, j: np.ndarray) -> Iterator[pd.DataFrame]:
+                # a pair that shares an earlier token was given there
+                first = np.array([earlier(a).isdisjoint(earlier(b)) for a, b in zip(i.tolist(), j.tolist())], dtype=bool)
+                i, j = i[first], j[first]
                 if len(i):
                     swap = names[i] > names[j]
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -327,6 +341,15 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     keys = ["token", "lo", "hi"]
     pairs = spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(across, "a long, b long, ca long, cb long")
     pairs = cut(pairs.distinct())
+
+    @F.pandas_udf("boolean")
+    def alike(m: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        maps = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), WIDE // 64) for x in (a, b)]
+        return pd.Series(may_link(m.to_numpy(), n.to_numpy(), *maps, percent), dtype=bool)
+
+    for k in "ab":
+        pairs = pairs.join(sets.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")), k)
+    pairs = cut(pairs.where(alike("n_a", "n_b", "wide_a", "wide_b")).select("a", "b", "ca", "cb"))
     left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
 
     @F.pandas_udf("boolean")
