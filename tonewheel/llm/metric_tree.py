@@ -29,7 +29,7 @@ SAMPLE = 4_096
 #: Queries searched one after another over one shard.
 TOGETHER = 16_384
 #: A norm above this leaves inner products no room in 64 bits.
-LONGEST = 2.0**60
+LONGEST = 2.0**58
 PAGES = "page int, leaf boolean, center binary, vectors binary, to_parent binary, radius binary, children binary, ids binary, ends binary"
 KEY = ["dim", "region", "shard"]
 
@@ -40,7 +40,7 @@ def whole_vectors(rows: DataFrame, id_col: str, vector: str, scale: int) -> Data
     usable = F.col(id_col).isNotNull() & F.col(vector).isNotNull()
     number = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
     some = rows.where(usable).where(number).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double") * scale).alias("d"))
-    fit = F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x) + F.size("d") < LONGEST / 4
+    fit = F.aggregate("d", F.lit(0.0), lambda s, x: s + x * x) + F.size("d") < LONGEST
     whole = some.where(fit).select("id", F.transform("d", lambda x: F.floor(x)).alias("v")).distinct()
     return whole.withColumn("norm", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))
 
