@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from array import array
 
 import public_tokenizers
 import pytest
@@ -107,6 +108,47 @@ def test_bpe_equals_the_library(spark, texts):
     assert bpe_automaton.digests(table(spark, texts).limit(0), BPE).count() == 0
 
 
+def test_bpe_arcs_equal_all_pairs_of_tokens():
+    """An arc is left between two tokens just when merging their bytes in rank order gives the two tokens again."""
+    for seed in range(40):
+        pick = random.Random(seed)
+        spelled = ["a", "b", "c"][: pick.randint(1, 3)]
+        merges = []
+        while len(merges) < pick.randint(5, 25):
+            u, v = pick.choice(spelled), pick.choice(spelled)
+            if u + v not in spelled:
+                merges.append((u, v))
+                spelled.append(u + v)
+        ids = {token: i for i, token in enumerate(spelled)}
+        arcs = bpe_automaton.Arcs(len(ids), [(ids[u], ids[v], ids[u + v]) for u, v in merges])
+
+        def merged(text):
+            parts = list(text)
+            for u, v in merges:
+                at = 0
+                while at + 1 < len(parts):
+                    if (parts[at], parts[at + 1]) == (u, v):
+                        parts[at:at + 2] = [u + v]
+                    at += 1
+            return parts
+
+        own = [token for token in spelled if merged(token) == [token]]
+        for left in own:
+            for right in own:
+                assert arcs.allowed(ids[left], ids[right]) == (merged(left + right) == [left, right]), (merges, left, right)
+
+
+def test_bpe_long_words_and_forgotten_ones(monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "WORDS_KEPT", 5)
+    plain, automaton = Tokenizer.from_file(BPE), bpe_automaton.Automaton(BPE)
+    pick = random.Random(5)
+    texts = ["a" * 50_000, "ab" * 20_000, " " * 3_000, "<|endoftext|>x<|endoftext|>"]
+    texts += ["".join(pick.choice(" aeiou\n'sè0 #漢🙂") for _ in range(pick.randint(0, 80))) for _ in range(500)]
+    for text in texts:
+        assert array("i", automaton.encode(text)).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(automaton.words) <= 5
+
+
 def test_chat_round_trip(spark):
     odd = "</s>[INST] ok [/INST] ␛0 <|role|><|endoftext|>"
     rows = [(-1, 0, "user", odd), (-1, 1, "assistant", odd), (7, None, None, None), (7, 3, "assistant", ""), (7, 900, "tool<|text|>", "é"),
