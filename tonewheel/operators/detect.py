@@ -257,7 +257,7 @@ def crop_axes(quad, width: float, height: float) -> Column:
         return F.struct(*[v.alias(k) for k, v in columns.items()])
 
     def unit(v):
-        length = F.hypot(v["x"], v["y"])
+        length = G.length(v["x"], v["y"])
         length = F.when(length == 0, F.lit(1.0)).otherwise(length)
         return named(x=v["x"] / length, y=v["y"] / length, dx=v["dx"], dy=v["dy"])
 

@@ -47,7 +47,7 @@ def match_nearest(
     folded = labels.groupBy(*labels.columns).agg(F.count(F.lit(1)).cast("int").alias("_same"))
     seekers = folded.withColumn("_cx", F.explode_outer(reach("x"))).withColumn("_cy", F.explode_outer(reach("y")))
     near = seekers.join(spots, ["frame_id", "channel", "_cx", "_cy"], "left")
-    keys = div(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")), F.col("key_px"))
+    keys = div(G.length(F.col("px") - F.col("x"), F.col("py") - F.col("y")), F.col("key_px"))
     best = near.groupBy(*labels.columns, "_same").agg(F.min(F.when(keys <= match_keys, keys)).alias("error_keys"))
     best = best.withColumn("_same", F.explode(F.sequence(F.lit(1), F.col("_same")))).drop("_same")
     return best.withColumn("matched", F.col("error_keys").isNotNull())
@@ -247,7 +247,7 @@ def fit_errors(fits: DataFrame, labels: DataFrame) -> DataFrame:
         ).alias("shift"),
     ).withColumn("idx", F.col("ord") + F.col("shift"))
     met = placed.join(labels, ["frame_id", "channel", "idx"])
-    away = F.hypot(F.col("fx") * F.col("width") - F.col("x_px"), F.col("fy") * F.col("height") - F.col("y_px"))
+    away = G.length(F.col("fx") * F.col("width") - F.col("x_px"), F.col("fy") * F.col("height") - F.col("y_px"))
     return met.select("frame_id", "channel", "shift", div(away, F.col("key_px")).alias("error_keys"))
 
 
@@ -364,7 +364,7 @@ def back_edge_distances(backs: DataFrame, fits: DataFrame) -> DataFrame:
     )
     edge = G.bent(G.onto("homography", point(F.col("_on.x"), F.lit(0.0))), "lens_k", "lens_aspect")
     on = on.withColumn("_edge", edge)
-    apart = F.hypot(
+    apart = G.length(
         (F.col("_edge.x") - F.col("x")) * F.col("width"), (F.col("_edge.y") - F.col("y")) * F.col("height")
     )
     side = F.when(F.col("_on.y") >= 0, -1.0).otherwise(1.0)

@@ -230,7 +230,7 @@ def fit_checks(spark, sf):
     end = F.struct("x_px", "y_px")
     key = drawn.where(F.col("channel") <= 3).groupBy("frame_id").agg(
         F.max(F.when(F.col("channel") == 2, end)).alias("a"), F.max(F.when(F.col("channel") == 3, end)).alias("b"), F.max("white_keys").alias("n")
-    ).select("frame_id", (F.hypot(F.col("a.x_px") - F.col("b.x_px"), F.col("a.y_px") - F.col("b.y_px")) / F.col("n")).alias("key_px"))
+    ).select("frame_id", (G.length(F.col("a.x_px") - F.col("b.x_px"), F.col("a.y_px") - F.col("b.y_px")) / F.col("n")).alias("key_px"))
     labels = drawn.select(
         "frame_id", "channel", (F.col("ord") + off).alias("idx"), "x_px", "y_px", "width", "height"
     ).join(key, "frame_id")
