@@ -15,3 +15,17 @@ def test_length_is_the_root_of_the_squares(spark):
 def test_a_black_key_ends_at_its_start_and_its_width(spark):
     keys = dims.board_keys(dims.boards(spark)).where("black").collect()
     assert keys and all(r.x_to == r.x_from + dims.BLACK_WIDTH for r in keys)
+
+
+def test_a_fit_without_inliers_is_not_accepted(spark):
+    from tonewheel.operators import fit
+
+    rows = [(f, 0, p, x, y, x / 10 + (5.0 if f == 2 else 0.0), y / 10) for f in (1, 2) for p, (x, y) in enumerate([(0.0, 0.0), (5.0, 0.0), (5.0, 1.0), (0.0, 1.0), (2.0, 1.0)])]
+    pool = spark.createDataFrame(rows, "frame_id long, cand int, pos long, src_x double, src_y double, dst_x double, dst_y double")
+    h = [0.1, 0.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0, 1.0]
+    fits = spark.createDataFrame([(f, 0, 5, "C", 100, 100, h) for f in (1, 2)], "frame_id long, cand int, white_keys int, phase string, width int, height int, homography array<double>")
+    plan = fit.accept_fits(pool, fits)
+    got = plan.collect()
+    assert [(r.frame_id, r.inliers, r.pool_len, r.reprojection_error) for r in got] == [(1, 5, 5, 0.0)]
+    # counts and errors leave one aggregate, so the pool is read once
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
