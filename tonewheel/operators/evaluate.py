@@ -300,6 +300,7 @@ def summarise_fits(checks: DataFrame) -> DataFrame:
     def share(c):
         return F.coalesce(rounded(F.avg(c.cast("double")), 2), F.lit(0.0))
 
+    checks = cut(checks)
     numbered = F.coalesce(F.col("shift") == 0, F.lit(False))
     shares = checks.agg(
         F.count(F.lit(1)).alias("frames"),
@@ -376,6 +377,8 @@ def back_edge_report(distances: DataFrame) -> DataFrame:
     named = distances.select(
         F.explode(F.array(F.lit("all"), F.coalesce("case_color", F.lit("unnamed")))).alias("case_color"), "ahead_px"
     )
+    # the rounds of the quantiles read the distances again and again
+    named = cut(named)
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("v")) for k, v in (("ahead", F.col("ahead_px")), ("off", F.abs("ahead_px")))])
     values = named.select("case_color", F.explode(kinds).alias("k")).select("case_color", "k.kind", "k.v")
     q = quantiles(values, "v", {"median": (0.5, "trunc"), "p90": (0.9, "trunc")}, ["case_color", "kind"])
