@@ -39,3 +39,17 @@ def test_back_edge_rounds_read_stored_distances(spark):
     rows = rows.select("case_color", F.udf(seen, "double")("raw").alias("ahead_px"))
     report = {r.case_color: r.backs for r in evaluate.back_edge_report(rows).collect()}
     assert report == {"a": 50, "all": 50} and calls.value <= 50
+
+
+def test_prefilled_tops_reach_few_squares(spark):
+    from tonewheel.operators import lift
+
+    h = [0.02, 0.0, 0.1, 0.0, 0.1, 0.3, 0.0, 0.0, 1.0]
+    fits = spark.createDataFrame([(1, 0, 36, "C", 1000, 1000, h, [0.0, 0.0, 0.0])], BOARD.replace("white", "cand int, white") + ", width int, height int, homography array<double>, lift array<double>")
+    bottoms = dims.template_points(fits).where("channel = 5").select("ord", (F.col("x") * 20 + 100).alias("px"), (F.col("y") * 100 + 300).alias("py")).collect()
+    # one detected top a little under a key away from each bottom, towards every side in turn
+    moved = [(1, 7, r.ord, (r.px + dx) / 1000, (r.py + dy) / 1000) for r in bottoms for dx, dy in [((-19.9, 0), (0, 19.9), (0, -19.9), (19.9, 0))[r.ord % 4]]]
+    peaks = spark.createDataFrame(moved, "frame_id long, channel int, ord long, x double, y double")
+    got = {r.ord: (round(r.x_px, 6), round(r.y_px, 6)) for r in lift.prefill(fits, peaks).where("channel = 7 and x_px is not null").collect()}
+    near = {r.ord: min((((p[3] * 1000 - r.px) ** 2 + (p[4] * 1000 - r.py) ** 2), -p[2], round(p[3] * 1000, 6), round(p[4] * 1000, 6)) for p in moved) for r in bottoms}
+    assert got == {k: v[2:] for k, v in near.items() if v[0] <= 400} and len(got) == len(bottoms)
