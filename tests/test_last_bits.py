@@ -29,3 +29,21 @@ def test_a_fit_without_inliers_is_not_accepted(spark):
     assert [(r.frame_id, r.inliers, r.pool_len, r.reprojection_error) for r in got] == [(1, 5, 5, 0.0)]
     # counts and errors leave one aggregate, so the pool is read once
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_a_crop_side_is_summed_in_the_corners_order(spark):
+    """A frame whose depth across its axis is zero but for rounding falls to the side that its SQL takes."""
+    from tonewheel.operators import labels
+
+    f = 1310080
+    xs = [50 + f % 100, 50 + f % 100 + 150 + f * 3 % 700, 50 + f % 100 + 150 + f * 3 % 700 + f * 11 % 61 - 30, 50 + f % 100 + f * 7 % 51 - 25]
+    y0 = 200 + f % 300
+    ys = [y0, y0 + f * 5 % 41 - 20, y0 + (-1 if f % 19 == 0 else 1) * (f * 17 % 230), y0 + 5 + f * 13 % 190]
+    xy = [v for x, y in zip(xs, ys) for v in (x / 1e3 * 640.0, y / 1e3 * 480.0)]
+    quad = G.quad(*[F.lit(v) for v in xy])
+    m = spark.range(1).select(labels.oriented_crop(quad).alias("m")).head().m
+    px, py = xy[::2], xy[1::2]
+    ax, ay = -px[0] + px[1] + px[2] - px[3], -py[0] + py[1] + py[2] - py[3]
+    ex, ey = -px[0] - px[1] + px[2] + px[3], -py[0] - py[1] + py[2] + py[3]
+    side = -1.0 if -ay * ex + ax * ey < 0 else 1.0
+    assert m[4] * side * ax > 0

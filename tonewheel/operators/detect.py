@@ -250,8 +250,9 @@ def crop_axes(quad, width: float, height: float) -> Column:
     p = G.corners_of(quad)
     dx = p[1]["x"] - p[0]["x"] + p[2]["x"] - p[3]["x"]
     dy = p[1]["y"] - p[0]["y"] + p[2]["y"] - p[3]["y"]
-    depth_x = p[3]["x"] - p[0]["x"] + p[2]["x"] - p[1]["x"]
-    depth_y = p[3]["y"] - p[0]["y"] + p[2]["y"] - p[1]["y"]
+    # in the corners' order, as the checking SQL adds them: next to zero the order decides the side
+    depth_x = -p[0]["x"] - p[1]["x"] + p[2]["x"] + p[3]["x"]
+    depth_y = -p[0]["y"] - p[1]["y"] + p[2]["y"] + p[3]["y"]
 
     def named(**columns):
         return F.struct(*[v.alias(k) for k, v in columns.items()])
@@ -273,9 +274,9 @@ def crop_axes(quad, width: float, height: float) -> Column:
             values = [(c["x"] - a["cx"]) * ux + (c["y"] - a["cy"]) * uy for c in p]
             return F.greatest(*values) - F.least(*values)
 
-        along = spread(a["ax"], a["ay"]) * (1 + 2 * MARGIN_ALONG)
-        across = spread(a["ox"], a["oy"]) + along * MARGIN_ACROSS / F.lit(1 + 2 * MARGIN_ALONG)
-        scale = F.greatest(along / F.lit(float(width)), across / F.lit(float(height)), F.lit(1e-6))
+        along = spread(a["ax"], a["ay"])
+        across = spread(a["ox"], a["oy"]) + along * MARGIN_ACROSS
+        scale = F.greatest(along * (1 + 2 * MARGIN_ALONG) / F.lit(float(width)), across / F.lit(float(height)), F.lit(1e-6))
         return named(scale=scale, **{k: a[k] for k in ("cx", "cy", "ax", "ay", "ox", "oy")})
 
     return G.let(G.let(G.let(named(x=dx, y=dy, dx=depth_x, dy=depth_y), unit), sided), scaled)
