@@ -47,3 +47,30 @@ def test_a_crop_side_is_summed_in_the_corners_order(spark):
     ex, ey = -px[0] - px[1] + px[2] + px[3], -py[0] - py[1] + py[2] + py[3]
     side = -1.0 if -ay * ex + ax * ey < 0 else 1.0
     assert m[4] * side * ax > 0
+
+
+def test_corners_of_a_quad_next_to_degenerate_land_on_the_crop(spark):
+    from tonewheel.operators import labels
+
+    rows = []
+    for f in (540460, 598271):
+        x0, y0 = 50 + f % 100, 200 + f % 300
+        xs = [x0, x0 + 150 + f * 3 % 700, x0 + 150 + f * 3 % 700 + f * 11 % 61 - 30, x0 + f * 7 % 51 - 25]
+        ys = [y0, y0 + f * 5 % 41 - 20, y0 + (-1 if f % 19 == 0 else 1) * (f * 17 % 230), y0 + 5 + f * 13 % 190]
+        rows.append([v for x, y in zip(xs, ys) for v in (x / 1e3 * 640.0, y / 1e3 * 480.0)])
+    names = [f"{a}{i}" for i in range(4) for a in "xy"]
+    quads = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).withColumn("quad", G.quad(*names))
+    want = [(52.9655, 18.4615), (715.0345, 18.4615), (715.0345, 141.5385), (52.9655, 141.5385)]
+    for r in quads.select(labels.rectified_points("quad", "quad").alias("c")).collect():
+        assert [(round(p.x, 4), round(p.y, 4)) for p in r.c] == want
+
+
+def test_a_point_by_the_edges_is_the_point_by_the_matrix(spark):
+    from tonewheel.operators import labels
+
+    xy = [100.0, 200.0, 500.0, 180.0, 560.0, 300.0, 60.0, 330.0]
+    quad = G.quad(*[F.lit(v) for v in xy])
+    points = spark.createDataFrame([(float(x), float(y)) for x in range(-50, 700, 83) for y in range(100, 420, 37)], "x double, y double")
+    x, y = G.project(labels.rectified_crop(quad), "x", "y")
+    for r in points.select(x.alias("mx"), y.alias("my"), F.get(labels.rectified_points(quad, F.array(G.point("x", "y"))), 0).alias("e")).collect():
+        assert abs(r.mx - r.e.x) < 1e-6 * max(1.0, abs(r.mx)) and abs(r.my - r.e.y) < 1e-6 * max(1.0, abs(r.my))
