@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tonewheel.functions import geometry as G
+from tonewheel.functions.lineage import cut, spread
 from tonewheel.operators import ingest
 from tonewheel.plans.detection import quads
 from tonewheel.plans.registry import query, r6
@@ -66,14 +67,16 @@ def sidecar_texts(spark, sf):
         F.when(m == 6, ',"cornerVisible":[true,true,false]').otherwise(',"cornerVisible":[true,true,false,true]'), F.lit("}"),
     )
     text = F.when(m == 14, "[1]").when(m == 15, '{"a":').otherwise(body)
-    return spark.read.parquet(f"{sf}/customer.parquet").select(
+    return spread(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"), "c_custkey").select(
         k.alias("frame_id"), F.concat(F.lit("/clips/c"), (k % 7).cast("string"), F.lit("-"), k.cast("string"), F.lit(".json")).alias("path"), text.alias("text")
     )
 
 
 def good_frames(spark, sf):
-    ok, _ = sidecars.validate(sidecar_texts(spark, sf))
-    return sidecars.parse(ok)
+    """The well-formed sidecars, stored: filters on them would otherwise move below the spread, into the few tasks that read
+    customers, and parse every text again."""
+    ok, _ = sidecars.validate(cut(sidecar_texts(spark, sf)))
+    return cut(sidecars.parse(ok))
 
 
 @query("a1_read_sidecars", (), "SELECT c_custkey AS frame_id, 'c' || CAST(c_custkey % 7 AS VARCHAR) || '-' || CAST(c_custkey AS VARCHAR) AS stem FROM customer WHERE c_custkey % 9 <> 0")
@@ -150,7 +153,7 @@ def fixed_texts(spark, sf):
     front = [v for n, v in fields.items() if n not in sidecars.BACK_FILL]
     rear = F.when(k % 4 == 0, "").otherwise(F.concat(*[fields[n] for n in sidecars.BACK_FILL]))
     text = F.concat(F.lit('{"width":640,"height":480,"whiteKeys":4,"phase":"C"'), *front, rear, F.lit("}"))
-    return spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("frame_id"), text.alias("text"))
+    return spread(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"), "c_custkey").select(k.alias("frame_id"), text.alias("text"))
 
 
 FIXED = """
