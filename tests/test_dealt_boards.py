@@ -36,3 +36,10 @@ def test_white_points_are_corners_and_gaps(spark, sf):
     apart = labels.corner_points(labels.board_corners(white)).unionByName(labels.gaps(white))
     once = labels.white_points(white)
     assert once.count() == apart.count() and once.exceptAll(apart).isEmpty()
+
+
+def test_each_outline_is_made_once(spark, sf):
+    from tonewheel.plans import lifting
+
+    plan = plan_of(lifting.e21(spark, sf))
+    assert sum("ArrowEvalPython [" in line and "hulls" in line for line in plan.splitlines()) == 1
