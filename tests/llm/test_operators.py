@@ -215,3 +215,29 @@ def test_main_text(spark):
     assert len(got) == 33
     assert all(r.text == ("A & B First part <here>. More. Second." if r.page_id < 90 else "") and r.n_chars == len(r.text) for r in got)
     assert main_text.extract(pages.limit(0), main_text.train(pages.limit(0))).count() == 0
+
+
+def test_toxicity_holds_one_texts_marks_at_a_time(monkeypatch):
+    """A batch's marks take many times its texts: those of a text go before the next one's are made."""
+    import weakref
+
+    import pandas as pd
+
+    from tonewheel.llm import toxicity
+
+    held, most, made = weakref.WeakSet(), 0, toxicity.marks
+
+    class Held(type(made(""))):
+        __hash__ = object.__hash__
+
+    def watched(text):
+        nonlocal most
+        found = Held(made(text))
+        held.add(found)
+        most = max(most, len(held))
+        return found
+
+    monkeypatch.setattr(toxicity, "marks", watched)
+    table = toxicity._table(pd.Series(["bad words here", "", "BADLY bad!!"] * 20), ["=bad", "badl", "shouting", "exclaiming"])
+    assert table[:3].tolist() == [[1, 0, 0, 0], [0, 0, 0, 0], [1, 1, 1, 1]]
+    assert most <= 2

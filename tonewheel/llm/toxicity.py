@@ -14,6 +14,8 @@ FOLDS = 5
 SAMPLE = 20_000
 VOTERS = 256
 STEMS = (4, 5)
+#: Texts whose features are held at once.
+ROWS = 500
 WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ("shouting", "exclaiming")
 
@@ -123,12 +125,20 @@ def _features(x: np.ndarray) -> np.ndarray:
 def _counts(names: list[str]):
     @F.pandas_udf("array<int>")
     def counts(texts: pd.Series) -> pd.Series:
-        found = texts.map(marks)
-        return found.map(lambda c: np.array([c.get(name, 0) for name in names], dtype=np.int32))
+        return pd.Series(list(_table(texts, names)))
 
     return counts
 
 
+def _table(texts: pd.Series, names: list[str]) -> np.ndarray:
+    """How often each name's mark occurs in each text. One text's marks are held at a time: a batch's would take many times its texts."""
+    out = np.zeros((len(texts), len(names)), dtype=np.int32)
+    for row, text in zip(out, texts):
+        found = marks(text)
+        row[:] = [found.get(name, 0) for name in names]
+    return out
+
+
 def scored(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row. Null text is empty, a null doc_id is not held out; without a model the score is 0."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -138,8 +148,8 @@ def scored(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> DataF
         if model is None:
             return pd.Series(np.zeros(len(texts)))
         names, w = model
-        x = np.array([[c.get(name, 0) for name in names] for c in texts.map(marks)], dtype=float).reshape(-1, len(names))
-        return pd.Series(1 / (1 + np.exp(-np.clip(_features(x) @ w[:-1] + w[-1], -30, 30))))
+        odds = [_features(_table(texts[at : at + ROWS], names).astype(float)) @ w[:-1] + w[-1] for at in range(0, len(texts), ROWS)]
+        return pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *odds]), -30, 30))))
 
     rows = docs.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), score(text).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
