@@ -43,3 +43,9 @@ def test_each_outline_is_made_once(spark, sf):
 
     plan = plan_of(lifting.e21(spark, sf))
     assert sum("ArrowEvalPython [" in line and "hulls" in line for line in plan.splitlines()) == 1
+
+
+def test_cells_about_points_are_neither_moved_nor_kept(spark, sf):
+    lines = [line.strip(" :+-*()0123456789") for line in plan_of(labelling.b20(spark, sf)).splitlines()]
+    above = lines[: max(n for n, line in enumerate(lines) if line.startswith("Generate explode"))]
+    assert not any(line.startswith(("Exchange", "HashAggregate", "SortAggregate", "Sort ")) for line in above)
