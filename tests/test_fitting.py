@@ -172,3 +172,16 @@ def test_reproject_moves_gaps_one_key_along(spark, sf):
     drawn = {(r["frame_id"], r["ord"]): r["x_px"] for r in lifting.view(spark, sf, "fx_drawn").where("channel = 4").collect()}
     steps = [r["x_px"] - drawn[r["frame_id"], r["ord"] + 1] for r in out.where("channel = 4 and x_px is not null").collect() if (r["frame_id"], r["ord"] + 1) in drawn]
     assert steps and max(map(abs, steps)) < 3.0
+
+
+def test_votes_at_the_edge_are_counted_by_lengths(monkeypatch):
+    from tonewheel.operators import solve
+
+    # the board lies flat, so a quarter key is 0.25 wide; places just off, on and inside the edge
+    flat = np.array([[1.0, 0, 0, 0, 1, 0, 0, 0, 1]])
+    off = [0.25, np.nextafter(0.25, 0), np.nextafter(0.25, 1), 0.1, 0.4]
+    points = np.array([(0.0, 0.0, d, 0.0) for d in off])
+    looked = []
+    monkeypatch.setattr(solve, "_near", lambda *a, _near=solve._near: looked.append(len(a[0])) or _near(*a))
+    assert solve.agreeing(np.concatenate([flat, flat * np.nan]), points).tolist() == [2, 0] and looked == [3]
+    assert solve.agreeing(flat, points[:0]).tolist() == [0]
