@@ -1,5 +1,6 @@
 """Peaks are placed once a row, not inside a join's condition."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tonewheel.operators import dims, fit
@@ -21,6 +22,14 @@ def test_snaps_leave_the_joins_condition_alone(spark):
     assert sorted((r.channel, r.ord, r.src_x, r.src_y) for r in snapped.collect()) == [(4, 1, 5.0, 1.0), (9, 1, 35.0, 0.0)]
 
 
+def test_refits_leave_the_joins_condition_alone(spark):
+    pool = spark.createDataFrame([(1, 0, float(i % 3), float(i // 3), i % 3 * 2.0, i // 3 * 2.0) for i in range(9)], "frame_id long, cand int, src_x double, src_y double, dst_x double, dst_y double")
+    seeds = spark.createDataFrame([(1, 0, 9, [2.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 1.0])], "frame_id long, cand int, votes long, homography array<double>")
+    refit = fit.refine_votes(pool, seeds)
+    assert joins(refit) and not any("SQRT" in line for line in joins(refit))
+    assert np.allclose(refit.first()["homography"], seeds.first()["homography"], atol=1e-9)
+
+
 def test_points_near_are_those_of_the_whole_board(spark):
     spots = spark.createDataFrame([(i, 45, "E", c, i * 0.173 - 1.0) for i in range(280) for c in (4, 5, 6, 9)], "id int, white_keys int, phase string, channel int, at double")
     got = dims.template_near(spots, F.col("at"), F.col("channel"), 0.3).select("id", "channel", "near_x", "near_y")
