@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewheel.llm.lean import lean
+
 # Fixed: the pre-split of the byte-level tokenizer family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORDS_KEPT, LONGEST_KEPT = 150_000, 64
@@ -236,6 +238,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """`docs` with the array `token_ids` of each text (null: empty); a column of that name is replaced."""
 
     @F.arrow_udf("array<int>")
+    @lean
     def rows(texts: pa.Array) -> pa.Array:
         automaton = load(path)
         found = [automaton.encode(text.as_py()) for text in texts]

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewheel.llm.lean import lean
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 WINDOW = 5
@@ -50,6 +52,7 @@ def measured(docs: DataFrame, out: str = "m") -> DataFrame:
     """`docs` with the struct `out` of the measures of the whole text (null: empty)."""
 
     @F.pandas_udf(", ".join(f"{name} long" for name in MEASURES))
+    @lean
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measures(text) for text in texts], columns=MEASURES)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tonewheel.functions.lineage import checkpoint_dir, cut
 from tonewheel.llm.heavy import attach
+from tonewheel.llm.lean import lean, lean_batches
 
 N = 3
 BITS = 1024
@@ -182,6 +183,7 @@ def small_pairs(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _token_order(texts: DataFrame, n: int) -> np.ndarray:
     """How many tokens fall in each of BUCKETS hash buckets: a summary of fixed size that puts frequent tokens last."""
 
+    @lean_batches
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
@@ -235,6 +237,7 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     weight = _token_order(texts, n)
 
     @F.pandas_udf("n long, map binary, wide binary, prefix array<long>")
+    @lean
     def describe(batch: pd.Series) -> pd.DataFrame:
         def of(t):
             h = shingles(t, n)
@@ -256,6 +259,7 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     home = cut(home.select("node", "token", salt.alias("part")).join(sets.select("node", "digest", "n"), "node"))
     blocks = texts.select("digest", "text").join(home, "digest").drop("digest").repartition("token", "part")
 
+    @lean_batches
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, edges in _whole(batches, ["token", "part"]):
             hs, sizes, names = [shingles(t, n) for t in rows["text"]], rows["n"].to_numpy(), rows["node"].to_numpy()
@@ -343,6 +347,7 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     pairs = cut(pairs.distinct())
 
     @F.pandas_udf("boolean")
+    @lean
     def alike(m: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         maps = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), WIDE // 64) for x in (a, b)]
         return pd.Series(may_link(m.to_numpy(), n.to_numpy(), *maps, percent), dtype=bool)
@@ -353,6 +358,7 @@ def join(docs: DataFrame, percent: int = 90, n: int = N) -> DataFrame:
     left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
 
     @F.pandas_udf("boolean")
+    @lean
     def link(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([linked(shingles(x, n), shingles(y, n), percent) for x, y in zip(a, b)], dtype=bool)
 
