@@ -41,3 +41,22 @@ def test_lifts_in_one_place_are_those_of_packs(spark, sf, monkeypatch):
     apart = {r.frame_id: r.lift for r in lift.estimate_lift(peaks, fits).collect()}
     assert len(here) == 40 and here.keys() == apart.keys()
     assert all(np.allclose(here[k], apart[k], atol=1e-9) for k in here)
+
+
+def test_black_places_are_the_board_keys(spark):
+    boards = dims.boards(spark)
+    keys = dims.board_keys(boards).where("black").select("white_keys", "phase", (F.col("semitone") - F.col("white_ord")).alias("n"), "x_from")
+    tried = boards.withColumn("n", F.explode(F.sequence(F.lit(-3), F.lit(60)))).select("white_keys", "phase", "n", dims.black_at(dims.black_start("phase"), "white_keys", "n").alias("at"))
+    assert tried.where("at is not null").exceptAll(keys).isEmpty() and tried.where("at is not null").count() == keys.count() > 0
+
+
+def test_reprojected_labels_are_neither_moved_nor_stored(spark, sf, monkeypatch):
+    def none(df):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(lift, "cut", none)
+    slots = lifting.view(spark, sf, "fx_drawn").select("frame_id", "channel", "ord", "x_px", "y_px").repartition(8, "frame_id")
+    boards = lifting.view(spark, sf, "fx_boards").select("frame_id", "white_keys", "phase").repartition(8, "frame_id")
+    lines = lift.reproject(slots, boards, 1)._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = [n for n, line in enumerate(lines) if "ShuffledHashJoin" in line]
+    assert len(joins) >= 2 and not any("Exchange" in line for line in lines[: joins[1]])
