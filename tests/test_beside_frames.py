@@ -60,3 +60,21 @@ def test_reprojected_labels_are_neither_moved_nor_stored(spark, sf, monkeypatch)
     lines = lift.reproject(slots, boards, 1)._jdf.queryExecution().executedPlan().toString().splitlines()
     joins = [n for n, line in enumerate(lines) if "ShuffledHashJoin" in line]
     assert len(joins) >= 2 and not any("Exchange" in line for line in lines[: joins[1]])
+
+
+def test_a_pool_in_one_pass_is_its_three_parts_and_is_not_moved(spark, sf):
+    peaks = fitting.prior_peaks(spark, sf)
+    off = peaks.unionByName(peaks.withColumn("cand", F.lit(1)).withColumn("shift", F.lit(-1))).unionByName(peaks.withColumn("cand", F.lit(2)).withColumn("est", F.lit(None).cast("array<double>")))
+    parts = fit.snap_corners(off).unionByName(fit.snap_gaps(off)).unionByName(fit.snap_blacks(off))
+    once = fit.pool_rows(off)
+    assert once.count() == parts.count() > 0 and once.exceptAll(parts).isEmpty()
+    dealt = peaks.repartition(8, "frame_id")
+    assert moves(fit.build_pool(dealt)) == moves(dealt)
+
+
+def test_votes_are_not_moved_and_parts_agree(spark, sf, monkeypatch):
+    pool = fit.build_pool(fitting.prior_peaks(spark, sf).where("frame_id < 8").repartition(8, "frame_id")).cache()
+    here = {r.frame_id: (r.votes, r.homography) for r in fit.vote(pool).collect()}
+    monkeypatch.setattr(fit, "PART", 64)
+    apart = {r.frame_id: (r.votes, r.homography) for r in fit.vote(pool).collect()}
+    assert here == apart and len(here) == 8
