@@ -78,3 +78,13 @@ def test_votes_are_not_moved_and_parts_agree(spark, sf, monkeypatch):
     monkeypatch.setattr(fit, "PART", 64)
     apart = {r.frame_id: (r.votes, r.homography) for r in fit.vote(pool).collect()}
     assert here == apart and len(here) == 8
+
+
+def test_prefilled_tops_meet_where_their_frame_is(spark, sf, monkeypatch):
+    peaks, fits = fitting.peaks(spark, sf).where("frame_id < 30").repartition(8, "frame_id").cache(), lifting.fits(spark, sf).where("frame_id < 30").repartition(8, "frame_id").cache()
+    here = lift.prefill(fits, peaks)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"(?<!Broadcast)Exchange .*ENSURE_REQUIREMENTS", plan)
+    here = sorted(map(tuple, here.collect()), key=repr)
+    monkeypatch.setattr(lift, "WIDE_KEYS", 40)
+    assert here == sorted(map(tuple, lift.prefill(fits, peaks).collect()), key=repr) and len(here) > 5000
