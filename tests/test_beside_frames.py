@@ -88,3 +88,15 @@ def test_prefilled_tops_meet_where_their_frame_is(spark, sf, monkeypatch):
     here = sorted(map(tuple, here.collect()), key=repr)
     monkeypatch.setattr(lift, "WIDE_KEYS", 40)
     assert here == sorted(map(tuple, lift.prefill(fits, peaks).collect()), key=repr) and len(here) > 5000
+
+
+def test_outlines_of_a_batch_are_those_of_each_key(spark, sf):
+    from tonewheel.functions import geometry as G
+
+    fits = lifting.fits(spark, sf).where("frame_id < 20")
+    made = lift.key_outlines(fits)
+    bar = F.when(F.col("black"), lift.silhouette("top", "footprint")).otherwise(F.col("top"))
+    each = lift.key_faces(fits).select("frame_id", "semitone", F.transform(bar, lambda p: G.bent(p, F.col("lens_k"), F.col("lens_aspect"))).alias("bar"))
+    assert made.select("frame_id", "semitone", "bar").exceptAll(each).isEmpty() and made.count() == each.count() > 0
+    # points are placed and bent in the batch, no function over an array is left
+    assert "lambda" not in made.select("frame_id", "bar")._jdf.queryExecution().optimizedPlan().toString()
