@@ -100,3 +100,16 @@ def test_outlines_of_a_batch_are_those_of_each_key(spark, sf):
     assert made.select("frame_id", "semitone", "bar").exceptAll(each).isEmpty() and made.count() == each.count() > 0
     # points are placed and bent in the batch, no function over an array is left
     assert "lambda" not in made.select("frame_id", "bar")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_lone_point_is_not_searched_for(spark):
+    from tonewheel.operators import labels
+
+    cols = "frame_id long, channel int, x_crop double, y_crop double, crop_width int, crop_height int"
+    points = spark.createDataFrame([(1, 4, 20.5, 31.0, 768, 160), (2, 4, 20.5, 31.0, 768, 160), (2, 4, 22.5, 31.0, 768, 160)], cols)
+    made = labels.heat_targets(labels._with_cells(points).select(*points.columns))
+    cells = {(r.frame_id, r.i, r.j): r.value for r in made.collect()}
+    one = {k[1:]: v for k, v in cells.items() if k[0] == 1}
+    assert len(one) == 56 and all(cells[(2, *k)] >= v for k, v in one.items())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnull(_points" in plan.replace("isnull((_points", "isnull(_points")
